@@ -4,16 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARDS = 8
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer file is on this machine and, installed alike, on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import HashTree, place
+
+    tree = HashTree.even(SHARDS)
+    return place(table(spark, sf_dir, "documents"), tree, tree.grow(SHARDS))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+
+
+def _draw(name: str, weight: int) -> str:
+    return f"-ln((('0x' || substr(md5(k || '|{name}'), 1, 13))::BIGINT + 1) / 4503599627370496.0) / {weight}"
+
+
+def _sharding_sql() -> str:
+    """The tree of eight shards written out: two regions of weight 4, four racks of weight 2, eight shards of weight 1, and a third region of weight 1 once grown."""
+    draws = [("r0", 4), ("r1", 4), ("r2", 1), *((f"r{r}k{k}", 2) for r in (0, 1) for k in (0, 1)), *((f"s{s}", 1) for s in range(8))]
+    columns = ", ".join(f"{_draw(n, w)} AS {n}" for n, w in draws)
+    rack = lambda a: f"CASE WHEN s{a} <= s{a + 1} THEN {a} ELSE {a + 1} END"
+    region = lambda r: f"CASE WHEN r{r}k0 <= r{r}k1 THEN {rack(4 * r)} ELSE {rack(4 * r + 2)} END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+w AS (SELECT *, {columns} FROM d),
+p AS (SELECT *, CASE WHEN r0 <= r1 THEN {region(0)} ELSE {region(1)} END AS shard FROM w)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+  CAST(CASE WHEN r2 < least(r0, r1) THEN 8 ELSE shard END AS INTEGER) AS grown_shard
+FROM p"""
+
+
 ORACLE_SQL: dict[str, str] = {}
