@@ -32,6 +32,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), tree, tree.grow(SHARDS))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -44,7 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op6_substring_dedup": op6_substring_dedup, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 
 
 def _draw(name: str, weight: int) -> str:
