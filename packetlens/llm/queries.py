@@ -32,12 +32,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), tree, tree.grow(SHARDS))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mil import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup
 
@@ -68,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_quality_classifier": op4_quality_classifier, "op6_substring_dedup": op6_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_pii": op5_pii, "op6_substring_dedup": op6_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 
 def _draw(name: str, weight: int) -> str:
