@@ -30,6 +30,8 @@ CELL_BITS, ROWS, BLOCK_BITS = 27, 2, 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 NO_ID = -(1 << 63)
+#: Text whose windows are in memory at a time, and text over which a task reduces windows before it sends them on, in bytes.
+PART_BYTES, PIECE_BYTES = 1 << 20, 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,9 +112,9 @@ def repeated_cells(docs: DataFrame, window: int = WINDOW) -> list[np.ndarray]:
 
     def count(batches):
         for batch in batches:
-            for _, texts in pieces(batch, limit=16 << 20):
+            for _, texts in pieces(batch, limit=PIECE_BYTES):
                 found: list[np.ndarray] = []
-                for _, part in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])):
+                for _, part in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"]), limit=PART_BYTES):
                     w = Windows(part, window)
                     new = np.append(True, w.anchor_place[1:] != w.anchor_place[:-1])[: len(w.anchor)]
                     found.append(w.anchor[new])  # places of anchors never go back
@@ -193,11 +195,11 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         """Rows with `anchor` null name starts that a piece showed to be later ones; others, the earliest of a piece."""
         sketch = sent.value
         for batch in batches:
-            for part, texts in pieces(batch, limit=8 << 20):
+            for part, texts in pieces(batch, limit=PIECE_BYTES):
                 ids, copies = (part.column(i).to_numpy() for i in (0, 1))
                 parts: list[tuple[np.ndarray, ...]] = []
                 base = 0
-                for _, few in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])):
+                for _, few in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"]), limit=PART_BYTES):
                     w = Windows(few, window)
                     ok = _maybe(sketch, w.anchor)
                     parts.append((w.doc[ok] + base, w.start[ok], w.anchor[ok], w.hash[ok]))
@@ -242,7 +244,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             anchors = batch.column(2).to_numpy()
             cuts = np.append(0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1)
-            if rows >= 100_000:
+            if rows >= 20_000:
                 last = held[-1].column(2)[-1].as_py()
                 cut = next((c for c in cuts if anchors[c] != last), None)
                 if cut is not None:
@@ -256,6 +258,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     schema = "id long, copy long, anchor long, starts binary, hashes binary"
     rows = durable(docs.select("id", "copy", "text").mapInArrow(candidates, schema))
+    sent.destroy()  # the rows are written: no task needs the sketch again
     known = rows.where("anchor is null").select("id", "copy", "starts")
     open_ = rows.where("anchor is not null").repartition("anchor").sortWithinPartitions("anchor")
     return known.unionAll(open_.mapInArrow(settle, schema).select("id", "copy", "starts"))
@@ -288,7 +291,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part, texts in pieces(batch):
+            for part, texts in pieces(batch, limit=PART_BYTES):
                 words, removed, kept = [], [], []
                 for t, found in zip(texts, part.column(2).to_pylist(), strict=True):
                     own = t.split()
