@@ -145,13 +145,15 @@ def search(segments: DataFrame, phrases: Phrases, every: bool = True, slop: int
             for row in batch.to_pylist():
                 segment = Segment(row)
                 n = len(segment.words)
-                change = np.zeros(int((segment.words + 1).sum()) + 1, np.int32)
+                size = int((segment.words + 1).sum()) + 1
                 items: dict[int, set[int]] = {}
+                begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for p, starts in segment.starts(own, slop):
-                    change += np.bincount(starts, minlength=len(change)).astype(np.int32)
-                    change -= np.bincount(np.minimum(starts + own.sizes[p], len(change) - 1), minlength=len(change)).astype(np.int32)
+                    begins.append(starts)
+                    ends.append(np.minimum(starts + own.sizes[p], size - 1))
                     for doc in np.unique(np.searchsorted(segment.first, starts, side="right") - 1).tolist():
                         items.setdefault(doc, set()).update(own.items[p])
+                change = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
                 hit = np.append(0, np.cumsum(change)[:-1] > 0).astype(np.int8)
                 total = np.append(0, np.cumsum(hit[1:]))
                 n_hit = total[segment.first + segment.words] - total[segment.first]
