@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,19 +106,27 @@ def header_signal(top: Column, before: Column) -> Column:
     return F.when(top == before, 0.0).when((top == "") | (before == ""), 0.7).otherwise(0.5)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def combine(signals: dict[str, Column], settings: C.HeuristicConfig) -> Column:
     """Weighted mean of the enabled signals over zero; from the ensemble threshold on, more for two or three that agree.
     Without any enabled pattern the confidence is 0."""
-    weight, total, active = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for name, value in signals.items():
-        w = settings.weight(name)
-        if w is not None:
-            weight = weight + F.when(value > 0, F.lit(w)).otherwise(0.0)
-            total = total + F.when(value > 0, w * value).otherwise(0.0)
-            active = active + (value > 0.3).cast("int")
-    mean = F.when(weight > 0, total / F.when(weight > 0, weight).otherwise(1.0)).otherwise(0.0)
-    more = F.when(active >= 3, F.least(mean * 1.2, F.lit(1.0))).when(active >= 2, F.least(mean * 1.1, F.lit(1.0))).otherwise(mean)
-    return F.when(mean >= settings.ensemble, more).otherwise(mean)
+    pairs = F.array(*(F.struct(v.alias("v"), F.lit(float(w)).alias("w")) for k, v in signals.items() if (w := settings.weight(k)) is not None))
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("t"), F.lit(0).alias("n"))
+
+    def add(s: Column, x: Column) -> Column:
+        on = x["v"] > 0
+        return F.struct((s["w"] + F.when(on, x["w"]).otherwise(0.0)).alias("w"), (s["t"] + F.when(on, x["w"] * x["v"]).otherwise(0.0)).alias("t"), (s["n"] + (x["v"] > 0.3).cast("int")).alias("n"))
+
+    def boosted(m: Column, n: Column) -> Column:
+        more = F.when(n >= 3, F.least(m * 1.2, F.lit(1.0))).when(n >= 2, F.least(m * 1.1, F.lit(1.0))).otherwise(m)
+        return F.when(m >= settings.ensemble, more).otherwise(m)
+
+    mean = lambda s: F.when(s["w"] > 0, s["t"] / F.when(s["w"] > 0, s["w"]).otherwise(1.0)).otherwise(0.0)
+    return bound(F.aggregate(pairs, zero, add, lambda s: F.struct(mean(s).alias("m"), s["n"].alias("n"))), lambda s: boosted(s["m"], s["n"]))
 
 
 def document_type(text: Column) -> Column:

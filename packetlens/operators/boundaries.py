@@ -51,11 +51,11 @@ def heuristic(pages: DataFrame, settings: C.HeuristicConfig | None = None, every
     s = settings or C.HeuristicConfig()
     rows = signals(pages, s).withColumn("confidence", T.combine({k: F.col(k) for k in C.SIGNALS}, s))
     on = lambda k, limit: (F.col(k) > limit) if s.weight(k) is not None else F.lit(False)
-    kind = (
-        F.when(F.col("confidence") < s.minimum, "page_continuation").when(on("email_header", 0.5), "document_start")
+    kind = lambda sure: (
+        F.when(sure < s.minimum, "page_continuation").when(on("email_header", 0.5), "document_start")
         .when(on("terminal_phrases", 0.5), "document_end").when(on("page_numbering", 0.8), "document_start").otherwise("section_break")
     )
-    rows = rows.withColumn("boundary_type", kind)
+    rows = rows.withColumn("boundary_type", T.bound(F.col("confidence"), kind))
     return rows if every else rows.where("boundary_type <> 'page_continuation'")
 
 
