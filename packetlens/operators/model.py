@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from packetlens.config import ModelConfig
 from packetlens.functions import text as T
@@ -94,7 +95,7 @@ def answered(misses: DataFrame, ask: Callable[[str], str], retries: int = 3) ->
                 errors.append(error)
             yield pdf.assign(response=out, error=errors)
 
-    schema = misses.schema.add("response", "string").add("error", "string")
+    schema = StructType([*misses.schema.fields, StructField("response", StringType()), StructField("error", StringType())])
     return misses.mapInPandas(run, schema)
 
 

@@ -1 +1,6 @@
-"""packetlens plans"""
+"""Named queries; importing this package registers them."""
+
+from . import event_queries, stream_queries, text_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "event_queries", "stream_queries", "text_queries"]
