@@ -104,3 +104,52 @@ FROM p"""
 
 
 ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) AS h FROM k),
+f AS (SELECT h, min((doc_id, s)) AS first FROM h GROUP BY h HAVING count(*) > 1),
+l AS (SELECT doc_id, s FROM h JOIN f USING (h) WHERE (doc_id, s) > first),
+r AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM l) GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT DISTINCT doc_id, unnest(gone) AS i FROM r),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS t, count(*) AS n FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i WHERE g.i IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_DECONTAMINATION_SQL = f"""
+WITH b AS (SELECT item_id, {_TERMS} AS w FROM benchmark), d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+bw AS (SELECT item_id, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s, w FROM b WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM bw),
+sizes AS (SELECT DISTINCT n FROM bs),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, sizes WHERE len(w) >= n),
+ds AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS t FROM dw),
+m AS (SELECT doc_id, item_id, s, ds.n FROM ds JOIN bs ON bs.n = ds.n AND bs.t = ds.t),
+hits AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m"""
+
+_CRC = "list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, tbl[CAST(xor(a, b) & 255 AS INTEGER) + 1]))"
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))"
+_SHARDING_SQL = f"""WITH placed AS ({_sharding_sql()}), tb AS ({_CRC_TABLE}),
+raw AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+crc AS (SELECT doc_id, CAST(xor({_CRC}, 4294967295) AS BIGINT) AS text_crc32 FROM raw, tb)
+SELECT placed.*, text_crc32 FROM placed JOIN crc USING (doc_id)"""
+
+ORACLE_SQL |= {"op2_sharding": _SHARDING_SQL, "op6_substring_dedup": _SUBSTRING_SQL, "op7_decontamination": _DECONTAMINATION_SQL, "op10_warc": _WARC_SQL}
