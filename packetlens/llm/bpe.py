@@ -25,9 +25,9 @@ from .common import map_batches, pieces, record_batch
 #: Fixed value: the pattern that splits text before merges (byte-level BPE of this vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids are kept in each worker; past it, the store starts anew.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 60_000
 #: Cells of the transition table, as a power of two.
-ARC_BITS = 22
+ARC_BITS = 21
 ARC_SLOTS = 1 << ARC_BITS
 
 

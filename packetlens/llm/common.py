@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that is held as Python words at a time, in bytes.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, which then gives freed memory back to the system: a worker lives on after its task, beside others."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow; `make` runs once a task and returns what turns a batch into batches."""
 
@@ -41,7 +57,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 yield from each(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def as_bytes(column: pa.Array) -> pa.Array:

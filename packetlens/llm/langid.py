@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, pieces, record_batch
+from .common import held_out, map_batches, pieces, record_batch, releasing
 
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
@@ -55,7 +55,7 @@ def counts(docs: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
             used = np.flatnonzero(n)
             yield record_batch(lang=[lang] * (len(used) + 1), bucket=np.append(used, -1).astype(np.int32), n=np.append(n[used], seen[lang]))
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(releasing(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:

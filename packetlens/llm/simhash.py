@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, pieces, record_batch
+from .common import durable, map_batches, pieces, record_batch, releasing
 from .components import connected_components
 
 SEED = 42
@@ -178,7 +178,7 @@ def _bucket_forests(probes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return probes.mapInArrow(run, "u long, v long")
+    return probes.mapInArrow(releasing(run), "u long, v long")
 
 
 def links_forest(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, pieces, record_batch
+from .common import durable, map_batches, pieces, record_batch, releasing
 
 WINDOW = 20
 SHINGLE = 8
@@ -144,8 +144,8 @@ def repeated_cells(docs: DataFrame, window: int = WINDOW) -> list[np.ndarray]:
         if last >= 0:
             yield done()
 
-    sketches = docs.select("text").mapInArrow(count, "part int, cells binary")
-    merged = sketches.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
+    sketches = docs.select("text").mapInArrow(releasing(count), "part int, cells binary")
+    merged = sketches.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(merge), "part int, bits binary")
     out = [np.zeros(1 << CELL_BITS - 3, np.uint8) for _ in range(ROWS)]
     size = per_block // 8
     for part, bits in merged.toLocalIterator():
@@ -257,11 +257,11 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield from out()
 
     schema = "id long, copy long, anchor long, starts binary, hashes binary"
-    rows = durable(docs.select("id", "copy", "text").mapInArrow(candidates, schema))
+    rows = durable(docs.select("id", "copy", "text").mapInArrow(releasing(candidates), schema))
     sent.destroy()  # the rows are written: no task needs the sketch again
     known = rows.where("anchor is null").select("id", "copy", "starts")
     open_ = rows.where("anchor is not null").repartition("anchor").sortWithinPartitions("anchor")
-    return known.unionAll(open_.mapInArrow(settle, schema).select("id", "copy", "starts"))
+    return known.unionAll(open_.mapInArrow(releasing(settle), schema).select("id", "copy", "starts"))
 
 
 def _starts(ids: np.ndarray, copies: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, map_batches, record_batch, shared_dir
+from .common import as_bytes, durable, map_batches, record_batch, releasing, shared_dir
 
 VERSION = b"WARC/1.1"
 #: A payload of at least so many bytes is written once and else referred to.
@@ -136,7 +136,7 @@ def write(assigned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES)
             out.close()
             yield record_batch(archive=[name], records=[records])
 
-    return durable(assigned.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, records long"))
+    return durable(assigned.select("page_id", "url", "payload", "refers_to").mapInArrow(releasing(run), "archive string, records long"))
 
 
 def read(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
