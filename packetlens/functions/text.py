@@ -114,7 +114,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def combine(signals: dict[str, Column], settings: C.HeuristicConfig) -> Column:
     """Weighted mean of the enabled signals over zero; from the ensemble threshold on, more for two or three that agree.
     Without any enabled pattern the confidence is 0."""
-    pairs = F.array(*(F.struct(v.alias("v"), F.lit(float(w)).alias("w")) for k, v in signals.items() if (w := settings.weight(k)) is not None))
+    used = [F.struct(v.alias("v"), F.lit(float(w)).alias("w")) for k, v in signals.items() if (w := settings.weight(k)) is not None]
+    if not used:
+        return F.lit(0.0)
+    pairs = F.array(*used)
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("t"), F.lit(0).alias("n"))
 
     def add(s: Column, x: Column) -> Column:

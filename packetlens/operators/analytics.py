@@ -102,7 +102,8 @@ def health(rows: DataFrame) -> DataFrame:
 
 
 def route_group(path: Column) -> Column:
-    return F.when(F.contains(path, F.lit("auth")), "auth").when(F.contains(path, F.lit("upload")), "upload").when(F.contains(path, F.lit("download")), "download").otherwise("default")
+    has = lambda x: F.contains(path, F.lit(x))
+    return F.when(has("/auth") | has("/login"), "auth").when(has("/upload"), "upload").when(has("/download"), "download").otherwise("default")
 
 
 def speed(seconds: Column) -> Column:

@@ -120,6 +120,12 @@ def similar_neighbours(pages: DataFrame, packet: str = "conv_id", page: str = "t
     return pages.withColumn("before", F.lag("text").over(w)).where("before is not null").select(packet, page, T.jaccard(F.col("before"), F.col("text")).alias("similarity"))
 
 
+# What is said of a pair of pages, by its similarity.
+SHIFTS = ("Strong semantic shift detected between pages %d and %d (similarity: %.3f)", "Significant semantic difference between pages %d and %d (similarity: %.3f)", "Semantic boundary detected between pages %d and %d (similarity: %.3f)")
+LIKE = ("Pages %d and %d are semantically very similar (similarity: %.3f)", "Pages %d and %d show semantic continuity (similarity: %.3f)", "Pages %d and %d are marginally similar (similarity: %.3f)")
+
+
 def explained(similarity: Column, boundary: Column, page: Column, next_page: Column) -> Column:
-    level = F.when(boundary, F.when(similarity < 0.2, "Very low").when(similarity < 0.35, "Low").otherwise("Moderate")).otherwise(F.when(similarity > 0.8, "Very high").when(similarity > 0.65, "High").otherwise("Moderate"))
-    return F.format_string("%s similarity (%.3f) between pages %d and %d", level, similarity, page, next_page)
+    say = lambda text: F.format_string(text, page, next_page, similarity)
+    apart = F.when(similarity < 0.2, say(SHIFTS[0])).when(similarity < 0.35, say(SHIFTS[1])).otherwise(say(SHIFTS[2]))
+    return F.when(boundary, apart).when(similarity > 0.8, say(LIKE[0])).when(similarity > 0.65, say(LIKE[1])).otherwise(say(LIKE[2]))

@@ -34,15 +34,17 @@ def quality(blocks: DataFrame, page: str = "page") -> DataFrame:
 
 
 def tables(blocks: DataFrame, page: str = "page") -> DataFrame:
-    """Rows of blocks whose tops lie within 5 of a row's first: a table has over two, more than one column, 1.5 on average.
+    """Rows of blocks whose tops lie less than 5 from a row's first: a table has over two rows, more than one column, and over
+    1.5 columns on average.
 
     A block joins the first row found that is near enough, so this is a fold over a page's blocks from the top. A row that
-    begins at exactly 0 takes no further block.
+    begins at exactly 0 only takes blocks that do so too.
     """
     state = F.struct(F.array().cast("array<double>").alias("at"), F.array().cast("array<int>").alias("n"))
 
     def step(s: Column, y: Column) -> Column:
-        near = F.array_position(F.transform(s["at"], lambda a: (F.abs(a - y) <= 5) & (a != 0)), True)
+        close = F.array_position(F.transform(s["at"], lambda a: F.abs(a - y) < 5), True)
+        near = F.when((close > 0) & (F.get(s["at"], (close - 1).cast("int")) != 0), close).otherwise(F.array_position(s["at"], y))
         grown = F.transform(s["n"], lambda c, i: F.when(i + 1 == near, c + 1).otherwise(c))
         return F.when(near > 0, F.struct(s["at"].alias("at"), grown.alias("n"))).otherwise(F.struct(F.array_append(s["at"], y).alias("at"), F.array_append(s["n"], F.lit(1)).alias("n")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Where a session may go from each status.
-TRANSITIONS = {"pending": ("modified", "confirmed", "cancelled"), "modified": ("modified", "confirmed", "cancelled"), "confirmed": ("completed", "cancelled"), "completed": (), "cancelled": ()}
+TRANSITIONS = {"pending": ("modified", "confirmed", "cancelled"), "modified": ("confirmed", "cancelled"), "confirmed": ("completed", "cancelled"), "completed": (), "cancelled": ()}
 ACTIVE = ("pending", "modified", "confirmed")
 STATUSES = ("pending", "modified", "confirmed", "completed", "cancelled")
 EDITABLE = ("pending", "modified")
@@ -40,7 +40,7 @@ def replayed(log: DataFrame, key: str, at: str, status: Column) -> DataFrame:
         ok = F.array_contains(allowed[s["status"]], x["status"])
         return F.struct(F.when(ok, x["status"]).otherwise(s["status"]).alias("status"), (s["refused"] + F.when(ok | (x["status"] == s["status"]), 0).otherwise(1)).alias("refused"))
 
-    return log.groupBy(key).agg(steps.alias("steps")).withColumn("s", F.aggregate("steps", state, step)).select(key, "s.status", "s.refused")
+    return log.groupBy(key).agg(steps.alias("steps")).withColumn("__s", F.aggregate("steps", state, step)).select(key, "__s.status", "__s.refused")
 
 
 def active(sessions: DataFrame, now: Column) -> DataFrame:

@@ -75,7 +75,7 @@ def session_extend(spark, sf_dir):
     return S.extended(folded(spark, sf_dir), now()).select("user_id", "expires_at")
 
 
-@query(f"WITH x AS (SELECT event_id, user_id, {STATUS_SQL} AS s, lag({STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT event_id, b AS last, s AS status FROM x WHERE b IS NOT NULL AND NOT ((b = 'pending' AND s IN ('modified', 'confirmed', 'cancelled')) OR (b = 'modified' AND s IN ('modified', 'confirmed', 'cancelled')) OR (b = 'confirmed' AND s IN ('completed', 'cancelled')))")
+@query(f"WITH x AS (SELECT event_id, user_id, {STATUS_SQL} AS s, lag({STATUS_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT event_id, b AS last, s AS status FROM x WHERE b IS NOT NULL AND NOT ((b = 'pending' AND s IN ('modified', 'confirmed', 'cancelled')) OR (b = 'modified' AND s IN ('confirmed', 'cancelled')) OR (b = 'confirmed' AND s IN ('completed', 'cancelled')))")
 def illegal_transitions(spark, sf_dir):
     return S.illegal(events(spark, sf_dir), "user_id", "ts", status()).select("event_id", "last", "status")
 
@@ -207,9 +207,11 @@ def load_factor(spark, sf_dir):
     return A.load_factor(events(spark, sf_dir), "value").select("event_id", F.round(F.col("recent_mean") + 1e-9, 6).alias("recent_mean"))  # no ties at six places
 
 
-@query("SELECT event_id, CASE WHEN value > 5 THEN 'very_slow' WHEN value > 1 THEN 'slow' ELSE 'normal' END AS speed, CASE WHEN contains(event_type, 'auth') THEN 'auth' WHEN contains(event_type, 'upload') THEN 'upload' WHEN contains(event_type, 'download') THEN 'download' ELSE 'default' END AS route FROM events")
+@query("WITH e AS (SELECT event_id, value, '/api/' || CASE event_id % 4 WHEN 0 THEN 'login' WHEN 1 THEN 'upload' WHEN 2 THEN 'download' ELSE event_type END AS url FROM events) SELECT event_id, CASE WHEN value > 5 THEN 'very_slow' WHEN value > 1 THEN 'slow' ELSE 'normal' END AS speed, CASE WHEN contains(url, '/auth') OR contains(url, '/login') THEN 'auth' WHEN contains(url, '/upload') THEN 'upload' WHEN contains(url, '/download') THEN 'download' ELSE 'default' END AS route FROM e")
 def request_classes(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", A.speed(F.col("value")).alias("speed"), A.route_group(F.col("event_type")).alias("route"))
+    k = F.col("event_id") % 4
+    url = F.concat(F.lit("/api/"), F.when(k == 0, "login").when(k == 1, "upload").when(k == 2, "download").otherwise(F.col("event_type")))
+    return events(spark, sf_dir).select("event_id", A.speed(F.col("value")).alias("speed"), A.route_group(url).alias("route"))
 
 
 @query("WITH d AS (SELECT event_id, event_id * 397 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN '< 1m' ELSE concat_ws(' ', CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd' END, CASE WHEN s % 86400 // 3600 > 0 THEN (s % 86400 // 3600) || 'h' END, CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' END) END AS uptime FROM d")

@@ -132,6 +132,17 @@ def embeddings_boundaries(spark, sf_dir):
     return B.by_similarity(vectors(spark, sf_dir)).select("packet_id", "page_no", "next_page", R6("similarity"), "boundary_type", R6("confidence"))
 
 
+def _said(texts: tuple[str, ...], limits: tuple[str, str]) -> str:
+    out = [quoted(t.replace("%d", "{}").replace("%.3f", "{:.3f}")) for t in texts]
+    say = [f"format({t}, page_no, next_page, similarity)" for t in out]
+    return f"CASE WHEN similarity {limits[0]} THEN {say[0]} WHEN similarity {limits[1]} THEN {say[1]} ELSE {say[2]} END"
+
+
+@query(f"WITH {SIMILAR} SELECT page_no, CASE WHEN similarity < 0.1 THEN {_said(B.SHIFTS, ('< 0.2', '< 0.35'))} ELSE {_said(B.LIKE, ('> 0.8', '> 0.65'))} END AS reasoning FROM q")
+def boundary_reasoning(spark, sf_dir):
+    return B.by_similarity(vectors(spark, sf_dir), 0.1).select("page_no", B.explained(F.col("similarity"), F.col("boundary_type") == "document_start", F.col("page_no"), F.col("next_page")).alias("reasoning"))
+
+
 def judged_pairs(spark, sf_dir):
     v = vectors(spark, sf_dir)
     change = F.lead("label").over(B.in_order()) != F.col("label")
