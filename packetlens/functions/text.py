@@ -12,9 +12,13 @@ from packetlens import config as C
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: The characters of WHITE, for trimming without a pattern.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(x: Column) -> Column:
     """All white space off both ends, not only blanks."""
-    return F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def words(x: Column) -> Column:
@@ -70,8 +74,9 @@ def keyword_signal(top: Column, keywords: Sequence[str] = C.KEYWORDS) -> Column:
 
 
 def email_signal(top: Column, patterns: Sequence[str] = C.EMAIL_HEADERS) -> Column:
-    first = F.transform(F.slice(F.split(top, "\n", -1), 1, 5), strip)
-    n = F.aggregate(first, F.lit(0), lambda s, x: s + sum((x.startswith(f).cast("int") for f in C.EMAIL_FIELDS[1:]), x.startswith(C.EMAIL_FIELDS[0]).cast("int")))
+    # Lines that begin with a field, after white space; a line begins with one field at most.
+    field = rf"(?md)^(?:(?!\n){WHITE})*(?:{'|'.join(C.EMAIL_FIELDS)})"
+    n = F.regexp_count(head(F.split(top, "\n", -1), 5), F.lit(field))
     return F.when(any_match(top, patterns), 0.95).when(n >= 2, 0.85).otherwise(0.0)
 
 
