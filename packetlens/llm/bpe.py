@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, record_batch
+from .common import pieces, record_batch, releasing
 
 #: Fixed value: the pattern that splits text before merges (byte-level BPE of this vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -229,25 +229,29 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     digest of nothing. Repeated rows are all returned; an empty table gives no rows; other columns are not read.
     """
 
-    def make():
-        own = automaton(path)
-
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part, texts in pieces(batch, limit=1 << 20):
-                ids = own.encode_all([t.decode(errors="replace") for t in texts])
-                decoded = [own.decode(x) for x in ids]
-                columns = {
-                    "doc_id": part.column(0),
-                    "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
-                }
-                if with_ids:
-                    columns["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
-                    columns["decoded"] = [x.decode() for x in decoded]
-                yield record_batch(**columns)
-
-        return each
+    def run(batches):
+        try:
+            own = automaton(path)
+            for batch in batches:
+                if batch.num_rows:
+                    yield from each(batch, own)
+        finally:
+            _LOADED.clear()  # a worker outlives its task; the tables would stay beside those of other workers
+
+    def each(batch: pa.RecordBatch, own: Automaton) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batch, limit=1 << 20):
+            ids = own.encode_all([t.decode(errors="replace") for t in texts])
+            decoded = [own.decode(x) for x in ids]
+            columns = {
+                "doc_id": part.column(0),
+                "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
+            }
+            if with_ids:
+                columns["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+                columns["decoded"] = [x.decode() for x in decoded]
+            yield record_batch(**columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run), schema)

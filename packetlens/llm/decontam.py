@@ -20,7 +20,7 @@ from .common import durable, map_batches, pieces, record_batch
 WINDOW = 13
 #: Words of test items that are broadcast at a time; an item longer than that is alone in its block.
 BLOCK_WORDS = 1_000_000
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Words are of 0-9, a-z and all beyond ASCII; A-Z counts as a-z.
 SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -142,7 +142,8 @@ def search(segments: DataFrame, phrases: Phrases, every: bool = True, slop: int
         own = sent.value
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 segment = Segment(row)
                 n = len(segment.words)
                 size = int((segment.words + 1).sum()) + 1
