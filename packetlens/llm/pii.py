@@ -1,16 +1,25 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-Fixed patterns with checks find the base spans. Generators of high recall propose further, overlapping spans: any token
-with an @, and any run of digits and separators. Each proposal has features of its format and of the text around it, all of
-a few values. Boosted trees are fitted for each kind on the counts of every feature combination over all documents (what
-comes to the driver is one row for each combination that occurs, of a fixed number that can), with the checked format of
-the kind as the label; the other half of the documents calibrates a threshold. The trees are then one CASE expression.
+Fixed patterns with checks find the base spans. Generators of high recall propose further spans, overlapping ones too: tokens
+with an @, addresses with a spelled @ or dot, numbers with and without blanks, four numbers with any kind of dots. Each proposal
+has features of its format and of the text around it, all of a few values. Boosted trees score it for each kind; proposals
+over the kind's calibrated threshold are added, of two that overlap the one with the better score.
+
+No text says what is personal data, so the labels are made: the base spans of all documents, written in other ways that the
+base patterns miss (without the plus, with other separators, with a spelled @), in their own surroundings, are of the kind;
+proposals of the texts themselves that meet no base span are not, nor are base spans that were spoiled (a wrong check digit,
+a part over 255, a date or an ISBN made of the digits). What defines a base span is thus never what the trees can go by. Training
+sees counts by feature combination over all documents; what comes to the driver is one row for each combination that
+occurs, of a fixed number that can. Each half of the documents calibrates the trees that the other half gave; the two
+scores' mean is the score. The trees are then one expression.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,46 +34,84 @@ PATTERNS = {
 }
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_PARTS = rf"^(?:{PART}|0+)(?:\.(?:{PART}|0+)){{3}}$"
-GENERATORS = {"token": r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]++", "number": r"[+(]?[0-9](?:[\x20().,:/_-]{0,2}+[0-9])++"}
+#: Of a generator, the kinds that it proposes, its pattern, and what a text must match for it to be tried.
+GENERATORS: dict[str, tuple[tuple[str, ...], str, str]] = {
+    "token": (("email",), r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]++", "@"),
+    "spelled": (("email",), r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({<]?\x20?(?:@|at)\x20?[\])}>]?\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]?\x20?(?:\.|dot)\x20?[\])}>]?\x20?[A-Za-z0-9-]++)++", r"(?i)@|[\x20\[({<]at[\x20\])}>]"),
+    "number": (("card", "phone"), r"[+(]?[0-9](?:[\x20().,:/_-]{0,2}+[0-9])++", "[0-9]"),
+    "tight": (("card", "phone"), r"[+(]?[0-9](?:[().,:/_-]{0,2}+[0-9])++", "[0-9]"),
+    "quad": (("ip",), r"(?i)(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?(?:[.,]|dot)[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])", "[0-9]"),
+}
 #: Digits that a number needs to be proposed at all.
 LEAST_DIGITS = 7
 CUES = r"(?i)(tel|phone|call|fon|mobil|fax|mail|contact|kontakt|host|addr|card|visa|konto|iban)"
 BLOCK = 512
 
-#: Trees: rounds, shrinkage, smoothing of leaves; and the share of proposals over a threshold that must be of the kind.
-ROUNDS, RATE, RIDGE, PRECISION, LEAST_POSITIVE = 24, 0.3, 1.0, 0.995, 20
+#: Trees: rounds, shrinkage, smoothing of leaves; the share of proposals over a threshold that must be of the kind (a lower bound, as
+#: found ones that are personal data after all count against it); and the number of
+#: proposals with the kind's overall share that count beside those over the threshold, so that few of these prove little.
+ROUNDS, RATE, RIDGE, PRECISION, PRIOR = 40, 0.3, 1.0, 0.8, 0.5
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def running(numbers: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running sums or maxima (as `both` says; zero is neutral) of an array<int>, in blocks, so that appending does not
+    copy all for each element."""
+    none = F.array().cast("array<int>")
+    state = lambda t, o=none: F.struct(t.alias("t"), o.alias("o"))
+    fold = lambda x, base: F.aggregate(x, state(base), lambda s, y: state(both(s["t"], y), F.array_append(s["o"], both(s["t"], y))))["o"]
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, BLOCK))
+    of_blocks = lambda blocks: fold(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), both)), F.lit(0))
+    inner = let(cut, lambda blocks: let(of_blocks(blocks), lambda t: F.flatten(F.transform(blocks, lambda x, i: fold(x, F.when(i == 0, 0).otherwise(t[F.greatest(i - 1, F.lit(0))]))))))
+    return F.when(F.size(numbers) > 0, inner).otherwise(none)
 
 
 def running_sums(numbers: Column) -> Column:
-    """Inclusive running sums of an array<int>, in blocks, so that appending does not copy all for each element."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, BLOCK))
-    state = lambda t: F.struct(t.alias("t"), F.array().cast("array<int>").alias("o"))
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y))
-    before = F.aggregate(sums, state(F.lit(0)), lambda s, x: F.struct((s["t"] + x).alias("t"), F.array_append(s["o"], s["t"]).alias("o")))["o"]
-    inner = F.zip_with(blocks, before, lambda x, base: F.aggregate(x, state(base), lambda s, y: F.struct((s["t"] + y).alias("t"), F.array_append(s["o"], s["t"] + y).alias("o")))["o"])
-    return F.when(F.size(numbers) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
-
-
-def with_matches(rows: DataFrame, patterns: dict[str, str], text: str) -> DataFrame:
-    """For each pattern a column of array<struct<start, end, found, before, after>>: code points of each leftmost match from
-    the end of the last on, end exclusive; up to 24 characters before it and one after it, short of the neighbouring match."""
+    return running(numbers, lambda a, b: a + b)
+
+
+def clear_of(rows: Column, base: Column) -> Column:
+    """Of spans sorted by start those that overlap no base span (sorted, apart from each other); by running maxima, so in
+    steps as many as there are spans."""
+    mark = lambda x, own, i: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), i.alias("at"))
+    every = F.array_sort(F.concat(F.transform(base, lambda x: mark(x, 0, F.lit(0))), F.transform(rows, lambda x, i: mark(x, 1, i))))
+    largest = lambda a, b: F.greatest(a, b)
+    far = 1 << 30
+    reach = lambda v: running(F.transform(v, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0)), largest)
+    ahead = lambda v: F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["own"] == 0, far - x["start"]).otherwise(0))), largest))
+    free = lambda v: let(reach(v), lambda r: let(ahead(v), lambda a: F.filter(v, lambda x, i: (x["own"] == 1) & (r[i] <= x["start"]) & (far - a[i] >= x["end"]))))
+    return F.when(F.size(base) == 0, rows).otherwise(let(every, lambda v: F.transform(free(v), lambda x: rows[x["at"]])))
+
+
+def working(rows: DataFrame) -> str:
+    """A prefix that no column of the rows begins with."""
+    prefix = "pii_"
+    while any(c.lower().startswith(prefix) for c in rows.columns):
+        prefix += "_"
+    return prefix
+
+
+def with_matches(rows: DataFrame, patterns: dict[str, tuple[str, str]], text: str) -> DataFrame:
+    """For each (pattern, what a text must match) a column of array<struct<start, end, found, before, after>>: code points of each leftmost
+    match from the end of the last on, end exclusive; up to 24 characters before it and one after it, short of the neighbouring match."""
     names = list(patterns)
     if not names:
         return rows
-    needs = {"__email": "@", "token": "@", "__phone": "+"}
-    cut = lambda n: F.split(F.col(text), patterns[n], -1)
-    found = lambda n: F.regexp_extract_all(F.col(text), F.lit(patterns[n]), F.lit(0))
-    some = lambda n: F.contains(F.col(text), F.lit(needs[n])) if n in needs else F.col(text).rlike("[0-9]")
+    own = working(rows.select(text, *(F.lit(0).alias(n) for n in names), *(c for c in rows.columns if c != text)))
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({f"__m_{n}": F.when(some(n), found(n)).otherwise(none) for n in names})
-    rows = rows.withColumns({f"__p_{n}": F.when(F.size(f"__m_{n}") > 0, cut(n)).otherwise(none) for n in names})
-    rows = rows.withColumns({f"__e_{n}": running_sums(F.zip_with(F.slice(f"__p_{n}", 1, F.size(f"__m_{n}")), f"__m_{n}", lambda p, m: F.length(p) + F.length(m))) for n in names})
+    rows = rows.withColumns({f"{own}m_{n}": F.when(F.col(text).rlike(need), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(none) for n, (p, need) in patterns.items()})
+    rows = rows.withColumns({f"{own}p_{n}": F.when(F.size(f"{own}m_{n}") > 0, F.split(F.col(text), p, -1)).otherwise(none) for n, (p, _) in patterns.items()})
+    rows = rows.withColumns({f"{own}e_{n}": running_sums(F.zip_with(F.slice(f"{own}p_{n}", 1, F.size(f"{own}m_{n}")), f"{own}m_{n}", lambda p, m: F.length(p) + F.length(m))) for n in names})
 
     def spans(n: str) -> Column:
-        zipped, piece = F.arrays_zip(F.col(f"__e_{n}").alias("e"), F.col(f"__m_{n}").alias("m")), F.col(f"__p_{n}")
+        zipped, piece = F.arrays_zip(F.col(f"{own}e_{n}").alias("e"), F.col(f"{own}m_{n}").alias("m")), F.col(f"{own}p_{n}")
         return F.transform(zipped, lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("found"), F.substring(piece[i], -24, 24).alias("before"), F.substring(piece[i + 1], 1, 1).alias("after")))
 
-    return rows.withColumns({n: spans(n) for n in names}).drop(*(f"__{k}_{n}" for n in names for k in "mpe"))
+    return rows.withColumns({n: spans(n) for n in names}).drop(*(f"{own}{k}_{n}" for n in names for k in "mpe"))
 
 
 def digits(x: Column) -> Column:
@@ -91,14 +138,57 @@ def holds(kind: str, found: Column) -> Column:
     return F.length(number).between(9, 15)
 
 
-def with_base(rows: DataFrame, text: str) -> DataFrame:
-    """base_<kind>: array<struct<start, kind, end>>."""
+#: What a text must match for a base pattern to be tried.
+NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+"}
+
 
-    def checked(k: str) -> Column:
-        return F.transform(F.filter(f"__{k}", lambda x: holds(k, x["found"])), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end")))
+def with_base(rows: DataFrame, text: str, own: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """{own}{kind}: the matches of each kind's pattern that hold, as of with_matches."""
+    rows = with_matches(rows, {f"{own}{k}": (PATTERNS[k], NEEDS[k]) for k in kinds}, text)
+    valid = lambda k: F.filter(f"{own}{k}", lambda x: holds(k, x["found"]))
+    return rows.withColumns({f"{own}{k}": valid(k) for k in kinds})
 
-    rows = with_matches(rows, {f"__{k}": p for k, p in PATTERNS.items()}, text)
-    return rows.withColumns({f"base_{k}": checked(k) for k in KINDS}).drop(*(f"__{k}" for k in KINDS))
+
+def placed(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
+
+
+# Other ways to write a base span, and spans that look like one and are none.
+
+
+def _grouped(number: Column, by: str) -> Column:
+    """Digits in fours."""
+    return F.regexp_replace(number, r"(.{4})(?=.)", "$1" + by)
+
+
+def variants(kind: str, found: Column) -> list[Column]:
+    if kind == "email":
+        local, host = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
+        dotted = lambda by: F.replace(host, F.lit("."), F.lit(by))
+        return [F.concat(local, F.lit(at), h) for at, h in ((" @ ", host), ("[at]", host), (" (at) ", host), (" [at] ", dotted(" [dot] ")), (" at ", dotted(" dot ")))]
+    if kind == "ip":
+        return [F.replace(found, F.lit("."), F.lit(by)) for by in (" . ", "[.]", ",", " dot ")]
+    if kind == "card":
+        return [_grouped(digits(found), by) for by in (".", "/", "  ", "_")]
+    bare = F.substring(found, 2, 1 << 20)
+    spaced = lambda by: F.regexp_replace(bare, r"[\x20().-]+", by)
+    return [bare, F.regexp_replace(found, r"^\+[0-9]{1,3}[\x20.-]+", ""), spaced("."), spaced("/"), F.concat(F.lit("00"), spaced(" "))]
+
+
+def spoiled(kind: str, found: Column) -> list[Column]:
+    if kind == "email":
+        local, host = F.substring_index(found, "@", 1), F.substring_index(F.substring_index(found, "@", -1), ".", 1)
+        return [F.concat(local, F.lit(at), host) for at in ("@", " @ ")] + [F.concat(local, F.lit(" at "), host, F.lit(". "), F.initcap(host))]
+    if kind == "ip":
+        return [F.replace(F.regexp_replace(found, "^[0-9]+", "999"), F.lit("."), F.lit(by)) for by in (" . ", "[.]", ",", " dot ")]
+    number = digits(found)
+    at = lambda i, n: F.substring(number, i, n)
+    if kind == "card":
+        other = F.concat(F.regexp_replace(number, "[0-9]$", ""), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
+        return [other] + [_grouped(other, by) for by in (".", "/", "  ", "_")]
+    date = F.concat(F.lit("20"), at(1, 2), F.lit("-0"), at(3, 1), F.lit("-1"), at(4, 1), F.lit(" 1"), at(5, 1), F.lit(":2"), at(6, 1))
+    book = F.concat(F.lit("978-"), at(1, 1), F.lit("-"), at(2, 3), F.lit("-"), at(5, 5), F.lit("-"), at(1, 1))
+    return [number, at(1, 8), date, book, F.concat(at(1, 3), F.lit("."), at(4, 9))]
 
 
 # Features of a proposal: name -> (column, number of values). Values are 0.. .
@@ -112,161 +202,195 @@ def _steps(x: Column, *limits: int) -> Column:
     return out
 
 
-def _class(x: Column) -> Column:
-    """Of a character: 0 none, 1 space, 2 letter, 3 digit, 4 other."""
-    return F.when(x == "", 0).when(x.rlike(r"\s"), 1).when(x.rlike(r"\p{L}"), 2).when(x.rlike("[0-9]"), 3).otherwise(4)
+def _flag(x: Column) -> Column:
+    return F.coalesce(x.cast("int"), F.lit(0))
 
 
-def _number(x: Column, what: str) -> Column:
-    return F.length(F.regexp_replace(x, what, ""))
+def _first_of(*cases: Column) -> Column:
+    """The place of the first case that holds, else their number."""
+    out = F.lit(len(cases))
+    for i in reversed(range(len(cases))):
+        out = F.when(cases[i], i).otherwise(out)
+    return out
 
 
-def features(generator: str, x: Column) -> dict[str, tuple[Column, int]]:
+def features(kind: str, x: Column) -> dict[str, tuple[Column, int]]:
     found = x["found"]
-    around = {"before": (_class(F.substring(x["before"], -1, 1)), 5), "after": (_class(x["after"]), 5), "cue": (x["before"].rlike(CUES).cast("int"), 2)}
-    if generator == "token":
-        host = F.substring_index(found, "@", -1)
+    joins = r"[\p{L}0-9]"
+    around = {"joined_before": (_flag(F.substring(x["before"], -1, 1).rlike(joins)), 2), "joined_after": (_flag(x["after"].rlike(joins)), 2), "cue": (_flag(x["before"].rlike(CUES)), 2)}
+    if kind == "email":
+        local = F.regexp_extract(found, r"^([^@\x20\[({<]*)", 1)
+        return around | {
+            "at": (_first_of(found.rlike(r"[^\x20]@[^\x20]"), F.contains(found, F.lit("@")), found.rlike(r"(?i)[\[({<]\x20?at"), found.rlike(r"(?i)\x20at\x20")), 5),
+            "dot": (_first_of(found.rlike(r"(?i)[\[({<]\x20?dot"), found.rlike(r"(?i)\x20dot\x20"), found.rlike(r"\.\x20"), found.rlike(r"(?:@|at[\])}>]?)[^.]*\.[^.]")), 5),
+            "top": (_steps(F.length(F.regexp_extract(found, r"[^A-Za-z]([A-Za-z]+)[^A-Za-z0-9]*$", 1)), 1, 2, 4, 7), 5),
+            "local": (_steps(F.length(local), 1, 3), 3), "local_digit": (_flag(local.rlike("[0-9._]")), 2), "capital_end": (_flag(found.rlike(r"[^A-Za-z][A-Z][a-z]*$")), 2),
+        }
+    number, groups = digits(found), F.filter(F.split(found, r"[^0-9]+", -1), lambda g: g != "")
+    most = F.array_max(F.transform(groups, lambda g: F.length(g)))
+    if kind == "ip":
         return around | {
-            "local": (_steps(F.length(found) - F.length(host) - 1, 1, 3), 3),
-            "dots": (_steps(_number(host, r"[^.]"), 1, 2), 3),
-            "end": (_steps(F.length(F.regexp_extract(host, r"\.([A-Za-z]+)[^A-Za-z0-9]*$", 1)), 1, 2, 4), 4),
-            "odd": (host.rlike(r"[^A-Za-z0-9.\-][A-Za-z0-9]").cast("int"), 2),
-        }
+            "big": (_flag(F.exists(groups, lambda g: g.cast("int") > 255)), 2), "longest": (_steps(most, 2, 3), 3), "bracketed": (_flag(found.rlike(r"[\[({]")), 2), "spelled": (_flag(found.rlike("(?i)dot")), 2),
+            "comma": (_flag(F.contains(found, F.lit(","))), 2), "spaces": (_steps(F.length(F.regexp_replace(found, "[^ ]", "")), 1, 4, 6), 4), "zero": (_flag(found.rlike(r"^0|[^0-9]0[0-9]")), 2),
+        }
     return around | {
-        "digits": (_steps(F.length(digits(found)), 9, 12, 16, 17, 20), 6),
-        "dots": (_steps(_number(found, r"[^.]"), 1, 2, 3, 4), 5),
-        "plus": (found.startswith("+").cast("int"), 2),
-        "paren": (F.contains(found, F.lit("(")).cast("int"), 2),
-        "breaks": (_steps(_number(found, r"[^\x20-]"), 1, 3), 3),
-        "other": (found.rlike("[,:/_]").cast("int"), 2),
-        "big": (found.rlike(r"(?<![0-9])(?:25[6-9]|2[6-9][0-9]|[3-9][0-9]{2}|[0-9]{4,})").cast("int"), 2),
-    }
+        "digits": (_steps(F.length(number), 9, 10, 11, 12, 14, 16, 17, 20), 9), "groups": (_steps(F.size(groups), 2, 3, 4, 5, 6), 6), "longest": (_steps(most, 4, 5, 7, 9, 12), 6),
+        "plus": (_flag(found.startswith("+")), 2), "zeros": (_flag(found.startswith("00")), 2), "paren": (_flag(F.contains(found, F.lit("("))), 2), "slashed": (_flag(found.rlike("[/_.]")), 2),
+        "clock": (_flag(found.rlike("[:,]")), 2), "quad": (_flag(found.rlike(r"^[0-9]{1,3}(?:[.,][0-9]{1,3}){3}$")), 2), "luhn": (_flag(F.when(F.length(number).between(12, 19), luhn(number))), 2),
+    }
 
 
-def proposals(generator: str) -> tuple[str, ...]:
-    return ("email",) if generator == "token" else ("ip", "card", "phone")
+def proposed(kind: str, generator: str, own: str) -> Column:
+    """Proposals of the generator that overlap no base span of the kind."""
+    rows = F.col(f"{own}{generator}")
+    if kind in ("card", "phone"):
+        rows = F.filter(rows, lambda x: F.length(digits(x["found"])) >= LEAST_DIGITS)
+    return let(rows, lambda r: clear_of(r, F.col(f"{own}{kind}")))
 
 
-def label(kind: str, found: Column) -> Column:
-    """Is the whole proposal, but for marks at its ends, of the kind by pattern and check?"""
-    if kind == "email":
-        return found.rlike(r"^\P{Alnum}*[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++\P{Alnum}*$")
-    whole = {"ip": IP_PARTS, "card": r"^[0-9](?:[\x20-]?[0-9])++$", "phone": r"^\+[0-9][\x20().0-9-]+[0-9]$"}[kind]
-    return found.rlike(whole) & holds(kind, found)
+def generators_of(kind: str) -> list[str]:
+    return [g for g, (kinds, _, _) in GENERATORS.items() if kind in kinds]
+
 
+def with_proposals(rows: DataFrame, kinds: tuple[str, ...], text: str, own: str) -> DataFrame:
+    live = {g: (p, need) for g, (ks, p, need) in GENERATORS.items() if set(ks) & set(kinds)}
+    return with_matches(rows, {f"{own}{g}": x for g, x in live.items()}, text)
 
-def counts(rows: DataFrame, generator: str) -> DataFrame:
-    """(fold, kind, features.., n, positive) over the proposals of (text, fold) rows."""
-    rows = with_matches(rows, {generator: GENERATORS[generator]}, "text").select("fold", F.explode(generator).alias("x"))
-    if generator == "number":
-        rows = rows.where(F.length(digits(F.col("x.found"))) >= LEAST_DIGITS)
-    of = features(generator, F.col("x"))
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), label(k, F.col("x.found")).cast("int").alias("y")) for k in proposals(generator)))
-    rows = rows.select("fold", *(c.alias(f) for f, (c, _) in of.items()), F.explode(kinds).alias("k"))
-    return rows.groupBy("fold", "k.kind", *of).agg(F.count("*").alias("n"), F.sum("k.y").alias("positive"))
+
+def counts(rows: DataFrame, kind: str) -> DataFrame:
+    """(fold, features.., n, positive) over made and found examples in (text, fold) rows."""
+    own = "pii_"
+    rows = with_proposals(with_base(rows, "text", own, (kind,)), (kind,), "text", own)
+    example = lambda x, found, y: F.struct(found.alias("found"), x["before"].alias("before"), x["after"].alias("after"), F.lit(y).alias("y"))
+    made = F.flatten(F.transform(f"{own}{kind}", lambda x: F.array(*(example(x, v, y) for w, y in ((variants, 1), (spoiled, 0)) for v in w(kind, x["found"])))))
+    met = [F.transform(proposed(kind, g, own), lambda x: example(x, x["found"], 0)) for g in generators_of(kind)]
+    rows = rows.select("fold", F.explode(F.concat(made, *met)).alias("x"))
+    of = features(kind, F.col("x"))
+    return rows.select("fold", *(c.alias(f) for f, (c, _) in of.items()), F.col("x.y").alias("y")).groupBy("fold", *of).agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
 
 
 Tree = tuple[str, int, tuple[str, int, float, float], tuple[str, int, float, float]]
 
 
 class Boosted:
-    """A bias, trees of two levels, and the margin from which on a proposal is selected (None: never). A node (feature,
-    limit, low, high) goes low where the feature is below the limit."""
+    """Trees of two levels for each half of the documents, their biases, and the margin from which on a proposal is selected (None:
+    never). A node (feature, limit, low, high) goes low where the feature is below the limit. The margin is the mean of the halves'."""
 
-    def __init__(self, bias: float, trees: list[Tree], threshold: float | None):
-        self.bias, self.trees, self.threshold = bias, trees, threshold
+    def __init__(self, halves: list[tuple[float, list[Tree]]], threshold: float | None):
+        self.halves, self.threshold = halves, threshold
 
     @classmethod
     def fit(cls, rows: list[dict], sizes: dict[str, int]) -> Boosted:
-        """Logistic boosting with second-order leaves on weighted feature combinations; fold 0 fits, fold 1 calibrates."""
-        fit = [r for r in rows if r["fold"] == 0]
-        n, positive = sum(r["n"] for r in fit), sum(r["positive"] for r in fit)
-        if positive < LEAST_POSITIVE or positive == n:  # nothing to tell apart
-            return cls(0.0, [], None)
-        model = cls(math.log((positive + 0.5) / (n - positive + 0.5)), [], None)
-        margin = [model.bias] * len(fit)
-        splits = [(f, c) for f, k in sizes.items() for c in range(1, k)]
-        for _ in range(ROUNDS):
-            p = [1 / (1 + math.exp(-m)) for m in margin]
-            g = [r["positive"] - r["n"] * q for r, q in zip(fit, p, strict=True)]
-            h = [r["n"] * q * (1 - q) for r, q in zip(fit, p, strict=True)]
-
-            def best(members: list[int]) -> tuple[float, str, int, float, float]:
-                found = (-1.0, splits[0][0], 1, 0.0, 0.0)
-                for f, c in splits:
-                    gl = sum(g[i] for i in members if fit[i][f] < c)
-                    hl = sum(h[i] for i in members if fit[i][f] < c)
-                    gr, hr = sum(g[i] for i in members) - gl, sum(h[i] for i in members) - hl
-                    gain = gl * gl / (hl + RIDGE) + gr * gr / (hr + RIDGE)
-                    if gain > found[0] + 1e-9:
-                        found = (gain, f, c, RATE * gl / (hl + RIDGE), RATE * gr / (hr + RIDGE))
-                return found
-
-            _, f, c, _, _ = best(list(range(len(fit))))
-            sides = [best([i for i, r in enumerate(fit) if (r[f] >= c) == side])[1:] for side in (False, True)]
-            tree = (f, c, *sides)
-            model.trees.append(tree)
-            margin = [m + model._leaf(tree, r) for m, r in zip(margin, fit, strict=True)]
-        held = sorted(((model.margin(r), r["n"], r["positive"]) for r in rows if r["fold"] == 1), reverse=True)
-        n = positive = 0
+        """Each half of the rows is calibrated by the trees of the other one."""
+        halves = [grown([r for r in rows if r["fold"] == k], sizes) for k in (0, 1)]
+        held = sorted(((margin(halves[1 - r["fold"]], r), r["n"], r["positive"]) for r in rows), reverse=True)
+        every, share = sum(n for _, n, _ in held), sum(p for _, _, p in held)
+        share = share / every if every else 0.0
+        threshold, n, positive = None, 0, 0
         for k, (m, a, b) in enumerate(held):
             n, positive = n + a, positive + b
-            last = k + 1 == len(held) or held[k + 1][0] < m
-            if last and positive >= LEAST_POSITIVE and positive >= PRECISION * n:
-                model.threshold = m - 1e-9
-        return model
-
-    @staticmethod
-    def _leaf(tree: Tree, row: dict) -> float:
-        f, c, low, high = tree
-        f, c, a, b = low if row[f] < c else high
-        return a if row[f] < c else b
+            if (k + 1 == len(held) or held[k + 1][0] < m) and positive + PRIOR * share >= PRECISION * (n + PRIOR):
+                threshold = m - 1e-9
+        return cls(halves, threshold)
 
     def margin(self, row: dict) -> float:
-        return self.bias + sum(self._leaf(t, row) for t in self.trees)
+        return sum(margin(h, row) for h in self.halves) / 2
 
-    def selects(self, of: dict[str, Column]) -> Column:
+    def margin_of(self, of: Callable[[str], Column]) -> Column:
         """The trees as one expression over feature columns."""
-        if self.threshold is None:
-            return F.lit(False)
-        node = lambda x: F.when(of[x[0]] < x[1], F.lit(x[2])).otherwise(F.lit(x[3]))
-        out = F.lit(self.bias)
-        for f, c, low, high in self.trees:
-            out = out + F.when(of[f] < c, node(low)).otherwise(node(high))
-        return out >= F.lit(self.threshold)
+        node = lambda x: F.when(of(x[0]) < x[1], F.lit(x[2])).otherwise(F.lit(x[3]))
+        out = F.lit(sum(bias for bias, _ in self.halves) / 2)
+        for _, trees in self.halves:
+            for f, c, low, high in trees:
+                out = out + F.when(of(f) < c, node(low)).otherwise(node(high)) / 2
+        return out
+
+
+def grown(fit: list[dict], sizes: dict[str, int]) -> tuple[float, list[Tree]]:
+    """Logistic boosting with second-order leaves on weighted feature combinations: the bias and the trees. Without examples of
+    both classes the trees are leaves near zero."""
+    n, positive = sum(r["n"] for r in fit), sum(r["positive"] for r in fit)
+    bias, trees = math.log((positive + 0.5) / (n - positive + 0.5)), []
+    if not fit:
+        return bias, trees
+    at = {f: np.array([r[f] for r in fit]) for f in sizes}
+    weight, hits = (np.array([r[k] for r in fit], float) for k in ("n", "positive"))
+    now = np.full(len(fit), bias)
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-now))
+        g, h = hits - weight * p, weight * p * (1 - p)
+
+        def best(own: np.ndarray, g=g, h=h) -> tuple[str, int, float, float]:
+            """The split of the rows with the largest gain, the first of equals, and its leaves."""
+            found = (-1.0, next(iter(sizes)), 1, 0.0, 0.0)
+            for f, k in sizes.items():
+                gs, hs = (np.cumsum(np.bincount(at[f][own], x[own], k)) for x in (g, h))
+                for c in range(1, k):
+                    gl, hl, gr, hr = gs[c - 1], hs[c - 1], gs[-1] - gs[c - 1], hs[-1] - hs[c - 1]
+                    gain = gl * gl / (hl + RIDGE) + gr * gr / (hr + RIDGE)
+                    if gain > found[0] + 1e-9:
+                        found = (gain, f, c, float(RATE * gl / (hl + RIDGE)), float(RATE * gr / (hr + RIDGE)))
+            return found[1:]
+
+        f, c, _, _ = best(np.ones(len(fit), bool))
+        high = at[f] >= c
+        sides = [best(high == side) for side in (False, True)]
+        trees.append((f, c, *sides))
+        for side, (sf, sc, a, b) in zip((False, True), sides, strict=True):
+            own = high == side
+            now[own] += np.where(at[sf][own] < sc, a, b)
+    return bias, trees
+
+
+def margin(half: tuple[float, list[Tree]], row: dict) -> float:
+    bias, trees = half
+    for f, c, low, high in trees:
+        f, c, a, b = low if row[f] < c else high
+        bias += a if row[f] < c else b
+    return bias
+
+
+def sizes_of(kind: str) -> dict[str, int]:
+    return {f: k for f, (_, k) in features(kind, F.struct(*(F.lit("").alias(c) for c in ("found", "before", "after")))).items()}
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
-    """A model for each kind, from all documents."""
+    """A model for each kind, from all documents; documents of one id are in one half."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 2).cast("int").alias("fold"))
     models = {}
-    for generator in GENERATORS:
-        sizes = {f: k for f, (_, k) in features(generator, F.struct(*(F.lit("").alias(c) for c in ("found", "before", "after")))).items()}
-        found = [r.asDict() for r in counts(rows, generator).collect()]
-        found.sort(key=lambda r: [r[f] for f in ("kind", "fold", *sizes)])
-        for kind in proposals(generator):
-            models[kind] = Boosted.fit([r for r in found if r["kind"] == kind], sizes)
+    for kind in KINDS:
+        sizes = sizes_of(kind)
+        found = [r.asDict() for r in counts(rows, kind).collect()]
+        models[kind] = Boosted.fit(sorted(found, key=lambda r: [r[f] for f in ("fold", *sizes)]), sizes)
     return models
 
 
-def with_spans(rows: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataFrame:
-    """The rows with base_<kind> and `all_spans`, sorted by start, kind and end, each once. Selected proposals shed marks at
-    their ends."""
-    rows = with_base(rows, text)
-    live = {g: p for g, p in GENERATORS.items() if any(models[k].threshold is not None for k in proposals(g))}
-    rows = with_matches(rows, live, text)
+def added(kind: str, model: Boosted, own: str) -> Column:
+    """array<struct<start, kind, end, margin>> of the proposals over the threshold, without marks at their ends."""
 
-    def chosen(generator: str, kind: str) -> Column:
+    def scored(generator: str) -> Column:
         head = lambda x: F.length(F.regexp_extract(x["found"], r"^[^\p{L}\p{N}+(]*", 0))
         tail = lambda x: F.length(F.regexp_extract(x["found"], r"[^\p{L}\p{N}]*$", 0))
-        keep = F.filter(generator, lambda x: F.length(digits(x["found"])) >= LEAST_DIGITS) if generator == "number" else F.col(generator)
-        picked = F.filter(keep, lambda x: models[kind].selects({f: c for f, (c, _) in features(generator, x).items()}))
-        return F.transform(picked, lambda x: F.struct((x["start"] + head(x)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x["end"] - tail(x)).alias("end")))
+        rows = F.transform(proposed(kind, generator, own), lambda x: F.struct((x["start"] + head(x)).alias("start"), (x["end"] - tail(x)).alias("end"), *(c.alias(f) for f, (c, _) in features(kind, x).items())))
+        rows = F.transform(rows, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), model.margin_of(lambda f: x[f]).alias("margin")))
+        return F.filter(rows, lambda x: (x["margin"] >= F.lit(model.threshold)) & (x["start"] < x["end"]))
+
+    return F.concat(*(scored(g) for g in generators_of(kind)))
+
 
-    found = [chosen(g, k) for g in live for k in proposals(g) if models[k].threshold is not None]
-    rows = rows.withColumn("__sorted", F.array_sort(F.concat(*(F.col(f"base_{k}") for k in KINDS), *found))).drop(*live)
-    every = F.col("__sorted")
-    return rows.withColumn("all_spans", F.filter(every, lambda x, i: (x["start"] < x["end"]) & ((i == 0) | (x != every[F.greatest(i - 1, F.lit(0))])))).drop("__sorted")
+def with_spans(rows: DataFrame, models: dict[str, Boosted], text: str, own: str) -> DataFrame:
+    """The rows with {own}{kind}, the base matches, and {own}spans, base and added spans sorted by start, kind and end, each once.
+    Of two added spans that follow each other by start and overlap, the one with the smaller score goes, the later one if equal."""
+    live = tuple(k for k in KINDS if models[k].threshold is not None)
+    rows = with_proposals(with_base(rows, text, own), live, text, own)
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, margin: double>>")
+    rows = rows.withColumn(f"{own}found", F.array_sort(F.concat(none, *(added(k, models[k], own) for k in live))))
+    every = F.col(f"{own}found")
+    beaten = lambda x, y, ties: (x["start"] < y["end"]) & (y["start"] < x["end"]) & ((y["margin"] > x["margin"]) | (F.lit(ties) & (y["margin"] == x["margin"])))
+    # get() past either end is null, which beats nothing.
+    better = F.filter(every, lambda x, i: ~F.coalesce(beaten(x, F.get(every, i - 1), True), F.lit(False)) & ~F.coalesce(beaten(x, F.get(every, i + 1), False), F.lit(False)))
+    base = [placed(F.col(f"{own}{k}"), k) for k in KINDS]
+    return rows.withColumn(f"{own}spans", F.array_sort(F.array_distinct(F.concat(*base, F.transform(better, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))))))
 
 
 def joined(spans: Column) -> Column:
@@ -277,26 +401,30 @@ def joined(spans: Column) -> Column:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", models: dict[str, Boosted] | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs.
 
-    Counts and digest are of the base spans, spans has these and the selected ones. A null or empty text has none. Repeated
-    rows are all returned; an empty table gives no rows; other columns are not read.
+    Counts and digest are of the base spans, spans has these and the added ones. A null or empty text has none. Repeated
+    rows are all returned; an empty table gives no rows; other columns are not read. A very long text is worked on as a whole in
+    its task.
     """
     models = models or train(docs, doc_id, text)
-    rows = with_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), models)
-    base = F.array_sort(F.concat(*(F.col(f"base_{k}") for k in KINDS)))
-    return rows.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
+    own = "pii_"
+    rows = with_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), models, "text", own)
+    base = F.array_sort(F.concat(*(placed(F.col(f"{own}{k}"), k) for k in KINDS)))
+    return rows.select("doc_id", *(F.size(f"{own}{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col(f"{own}spans")).alias("spans"))
 
 
 def redacted(rows: DataFrame, models: dict[str, Boosted], text: str = "text") -> DataFrame:
     """The rows with the text's spans replaced by the name of their kind in brackets; overlapping spans become one, under the
     name of the first. A null text stays null."""
-    columns = rows.columns
-    out = with_spans(rows.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), models, "__text")
+    columns, own = rows.columns, working(rows)
+    whole = F.col(f"{own}text")
+    out = with_spans(rows.withColumn(f"{own}text", F.coalesce(F.col(text), F.lit(""))), models, f"{own}text", own)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, x: Column) -> Column:
-        more = F.array_append(F.array_append(s["parts"], F.substring(F.col("__text"), s["at"] + 1, x["start"] - s["at"])), names[x["kind"]])
+        more = F.array_append(F.array_append(s["parts"], F.substring(whole, s["at"] + 1, x["start"] - s["at"])), names[x["kind"]])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["parts"]).otherwise(more).alias("parts"))
 
-    done = F.aggregate("all_spans", state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("__text"), s["at"] + 1, F.length("__text"))))
-    return out.withColumn(text, F.when(F.col(text).isNotNull() & (F.size("all_spans") > 0), done).otherwise(F.col(text))).select(*columns)
+    spans = F.col(f"{own}spans")
+    done = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
+    return out.withColumn(text, F.when(F.col(text).isNotNull() & (F.size(spans) > 0), done).otherwise(F.col(text))).select(*columns)
