@@ -225,8 +225,10 @@ def special_share(text: Column) -> Column:
 
 
 def mean_word_length(text: Column) -> Column:
-    found = words(text)
-    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0), lambda s, w: s + F.length(w)) / F.greatest(F.size(found), F.lit(1))).otherwise(0.0)
+    """Characters that are not white over runs of these; no list of words is made."""
+    shown = F.translate(text, BLANKS, "")
+    runs = F.length(F.translate(F.regexp_replace(text, rf"[^{WHITE[1:-1]}]+", "x"), BLANKS, ""))
+    return F.when(runs > 0, F.length(shown) / F.greatest(runs, F.lit(1))).otherwise(0.0)
 
 
 def confidence(text: Column, blocks: Column) -> Column:

@@ -11,6 +11,8 @@ from packetlens import config as C
 from packetlens.functions import text as T
 from packetlens.functions import vector as V
 
+from . import model
+
 
 def in_order(packet: str = "packet_id", page: str = "page_no"):
     """The one window that all neighbour operators share, so that they plan one exchange and one sort."""
@@ -87,6 +89,7 @@ DETECTORS: dict[str, Callable[..., Detector]] = {
     "heuristic": lambda settings=None: lambda pages: heuristic(pages, settings),
     "embeddings": lambda threshold=0.5: lambda vectors: by_similarity(vectors, threshold),
     "visual": lambda votes=1: lambda hashes: by_votes(hashes, votes).where("is_boundary"),
+    "llm": lambda cache, ask, now: lambda pairs: model.detect(pairs, cache, ask, now).where("is_boundary"),
 }
 THRESHOLDS = {"heuristic": 0.7, "visual": 0.5, "llm": 0.8, "embeddings": 0.5}
 

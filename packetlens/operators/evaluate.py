@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import range_of
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.when(b == 0, 1).otherwise(b))
@@ -44,18 +46,22 @@ def best(swept: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def roc(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """(score, tpr, fpr) for each distinct score, highest first. Scores are counted before the running sums."""
+    """(score, p, n, tpr, fpr) for each distinct score, highest first. Scores are counted before the running sums, and these run
+    within ranges of the scores; a range's totals are broadcast, a row for each."""
     counts = rows.groupBy(score).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    down, every = Window.orderBy(F.col(score).desc()), Window.partitionBy()
-    return counts.select(score, ratio(F.sum("p").over(down), F.sum("p").over(every)).alias("tpr"), ratio(F.sum("n").over(down), F.sum("n").over(every)).alias("fpr"))
+    counts = counts.withColumn("__range", range_of(counts, -F.col(score)))
+    before, every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = counts.groupBy("__range").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    totals = totals.select("__range", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in "pn"), *(F.sum(f"__{c}").over(every).alias(f"__{c}_all") for c in "pn"))
+    down = Window.partitionBy("__range").orderBy(F.col(score).desc())
+    rate = lambda c: ratio(F.col(f"__{c}_before") + F.sum(c).over(down), F.col(f"__{c}_all"))
+    return counts.join(F.broadcast(totals), "__range").select(score, "p", "n", rate("p").alias("tpr"), rate("n").alias("fpr"), ratio(F.col("p"), F.col("__p_all")).alias("__up"), ratio(F.col("n"), F.col("__n_all")).alias("__right"))
 
 
 def auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """The area under the curve, by trapezoids."""
+    """The area under the curve, by trapezoids: each score's step to the right times the mean of the heights before and after it."""
     curve = roc(rows, score, truth)
-    w = Window.orderBy(F.col(score).desc())
-    step = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return curve.select(step.alias("step")).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("auc"))
+    return curve.agg(F.coalesce(F.sum(F.col("__right") * (F.col("tpr") - F.col("__up") / 2)), F.lit(0.0)).alias("auc"))
 
 
 def failures(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from packetlens.config import ModelConfig
 from packetlens.functions import text as T
 
+from .ranking import with_rank
+
 PROMPT = "Do these two pages belong to one document?\n\nEnd of the first page:\n{page1_bottom}\n\nStart of the second page:\n{page2_top}\n\nThink in <thinking> tags, then say SAME or DIFFERENT in <answer> tags."
 
 
@@ -72,25 +75,29 @@ def cache_statistics(cache: DataFrame) -> DataFrame:
 
 
 def trimmed(cache: DataFrame, keep: float = 0.7) -> DataFrame:
-    """The share of entries used last. The limit comes from a count, so no window sees all rows."""
-    n = int(cache.count() * keep)
-    return cache.orderBy(F.desc("accessed_at"), "key").limit(n)
+    """The share of entries used last, by ranks within ranges of time."""
+    newest_first = -F.unix_micros(F.col("accessed_at").cast("timestamp"))
+    ranked = with_rank(cache, newest_first, [F.desc("accessed_at"), "key"], name="__rank")
+    return ranked.where(F.col("__rank") <= int(cache.count() * keep)).drop("__rank")
 
 
-def answered(misses: DataFrame, ask: Callable[[str], str], retries: int = 3) -> DataFrame:
-    """Adds `response` to rows with a prompt by calling a model; an error, after the retries, becomes a row with error."""
+def answered(misses: DataFrame, ask: Callable[[str], str], retries: int = 3, wait: float = 0.0) -> DataFrame:
+    """Adds `response` to rows with a prompt by calling a model; an error, after the retries, becomes a row with error. Between
+    tries, it waits for 1, 2, 4 .. times `wait` seconds."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out, errors = [], []
             for p in pdf["prompt"]:
                 answer, error = None, None
-                for _ in range(retries):
+                for k in range(retries):
                     try:
                         answer, error = ask(p), None
                         break
                     except Exception as e:  # noqa: BLE001 a model's own errors become rows
                         error = str(e)
+                        if wait and k + 1 < retries:
+                            time.sleep(wait * 2**k)
                 out.append(answer)
                 errors.append(error)
             yield pdf.assign(response=out, error=errors)
@@ -105,3 +112,11 @@ def detect(pairs: DataFrame, cache: DataFrame, ask: Callable[[str], str], now: C
     known = found.where("response is not null").withColumn("error", F.lit(None).cast("string"))
     rows = known.unionByName(answered(found.where("response is null").drop("response"), ask))
     return rows.withColumns(parsed(F.col("response")))
+
+
+def remembered(cache: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The cache with the answers of `detect` (key, response, confidence, is_boundary): each of a key that was answered without
+    error, one of each key."""
+    new = found.where("error is null and response is not null").groupBy("key").agg(F.max(F.struct("response", "confidence", "is_boundary")).alias("a")).select("key", "a.*")
+    new = new.withColumns({"created_at": now, "accessed_at": now, "access_count": F.lit(0)})
+    return put(cache, new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(cache.schema[c].dataType).alias(c) for c in cache.columns)))

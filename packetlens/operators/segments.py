@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from packetlens.functions import text as T
 
+from .ranking import with_rank
+
 
 def segments(starts: DataFrame, pages: DataFrame, corrected: bool = False) -> DataFrame:
     """(packet_id, segment_no, start_page, end_page, confidence) from document starts (packet_id, page_no, confidence).
@@ -47,11 +49,15 @@ def named(found: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select(*keys, "document_type", "date", "identifier", T.suggested_name(F.col("document_type"), F.col("date"), F.col("identifier"), F.col("segment_no")).alias("suggested_filename"), "summary")
 
 
-def unique_names(rows: DataFrame, packet: str = "packet_id", order: str = "segment_no", name: str = "suggested_filename") -> DataFrame:
-    """Adds filename: a name's later bearers get _1, _2 .. before the suffix."""
-    k = F.row_number().over(Window.partitionBy(packet, name).orderBy(order)) - 1
+def unique_names(rows: DataFrame, packet: str = "packet_id", order: str = "segment_no", name: str = "suggested_filename", lead: str | None = None) -> DataFrame:
+    """Adds filename: a name's later bearers get _1, _2 .. before the suffix. lead: a numeric column that the order begins with, where
+    a name can have very many bearers; they are then counted by ranges of it."""
+    if lead is None:
+        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(packet, name).orderBy(order)))
+    else:
+        rows = with_rank(rows, F.col(lead), [lead, order], packet, name, name="__k")
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return rows.withColumn("__k", k).withColumn("filename", F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("__k").cast("string"), suffix))).drop("__k")
+    return rows.withColumn("filename", F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), (F.col("__k") - 1).cast("string"), suffix))).drop("__k")
 
 
 def page_range(start: Column, end: Column) -> Column:
@@ -108,6 +114,19 @@ def with_segment(found: DataFrame, added: DataFrame) -> DataFrame:
     return found.withColumn("is_user_defined", F.lit(False)).unionByName(added.withColumns({"suggested_filename": name, "confidence": F.lit(1.0), "is_user_defined": F.lit(True)}), allowMissingColumns=True)
 
 
+def edited(found: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The proposal after edits (packet_id, segment_no, edit, at, name), one for a segment, and an audit row for each that was applied:
+    `remove`; `split`, in two at page `at`, if that is inside; `rename`, to `name`. Segments without an edit stay."""
+    rows = found.join(edits.select("packet_id", "segment_no", "edit", "at", "name"), ["packet_id", "segment_no"], "left")
+    cut = (F.col("edit") == "split") & (F.col("at") > F.col("start_page")) & (F.col("at") <= F.col("end_page"))
+    applied = rows.where(cut | F.col("edit").isin("remove", "rename")).select("packet_id", "segment_no", "edit", F.to_json(F.struct("start_page", "end_page", "at", "name")).alias("details"))
+    part = lambda s, e: F.struct(s.cast("long").alias("start_page"), e.cast("long").alias("end_page"))
+    start, end = F.col("start_page"), F.col("end_page")
+    parts = F.when(cut, F.array(part(start, F.col("at") - 1), part(F.col("at"), end))).otherwise(F.array(part(start, end)))
+    kept = rows.where("edit is null or edit <> 'remove'").withColumn("__p", F.explode(parts)).withColumn("filename", F.when(F.col("edit") == "rename", F.col("name")))
+    return kept.select("packet_id", "segment_no", F.col("__p.start_page"), F.col("__p.end_page"), "confidence", "filename"), applied
+
+
 def manifest(named_rows: DataFrame) -> DataFrame:
     """(packet_id, n_segments, n_pages, manifest JSON): the segments of a packet in order, with pages from one."""
     entry = F.struct("segment_no", "filename", (F.col("start_page") + 1).alias("first_page"), (F.col("end_page") + 1).alias("last_page"), "document_type")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +34,29 @@ def illegal(log: DataFrame, key: str, at: str, status: Column) -> DataFrame:
 
 
 def replayed(log: DataFrame, key: str, at: str, status: Column) -> DataFrame:
-    """The state after a log whose illegal steps are refused: a fold in order, for logs that may break the rules."""
-    allowed = F.create_map(*(x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)).cast("array<string>"))))
-    steps = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("event_id"), status.alias("status"))))
-    state = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("refused"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok = F.array_contains(allowed[s["status"]], x["status"])
-        return F.struct(F.when(ok, x["status"]).otherwise(s["status"]).alias("status"), (s["refused"] + F.when(ok | (x["status"] == s["status"]), 0).otherwise(1)).alias("refused"))
-
-    return log.groupBy(key).agg(steps.alias("steps")).withColumn("__s", F.aggregate("steps", state, step)).select(key, "__s.status", "__s.refused")
+    """The state after a log whose illegal steps are refused: a fold in order, for logs that may break the rules. Rows stream
+    through by key and time; a task holds one session's state, however long its log."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: list = []  # key, status, refused
+        for pdf in parts:
+            done = []
+            for k, to in zip(pdf["key"].tolist(), pdf["status"].tolist(), strict=True):
+                if not now or k != now[0]:
+                    done += [now] if now else []
+                    now = [k, "pending", 0]
+                if to in TRANSITIONS[now[1]]:
+                    now[1] = to
+                elif to != now[1]:
+                    now[2] += 1
+            if done:
+                yield pd.DataFrame(done, columns=["key", "status", "refused"])
+        if now:
+            yield pd.DataFrame([now], columns=["key", "status", "refused"])
+
+    rows = log.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"), "event_id", status.alias("status"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "at", "event_id").select("key", "status")
+    return rows.mapInPandas(run, "key string, status string, refused int").select(F.col("key").cast(log.schema[key].dataType).alias(key), "status", "refused")
 
 
 def active(sessions: DataFrame, now: Column) -> DataFrame:
@@ -75,3 +91,9 @@ def upserted(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
 
 def retained(rows: DataFrame, at: str, now: Column, interval: str) -> DataFrame:
     return rows.where(F.col(at) >= now - F.expr(f"INTERVAL {interval}"))
+
+
+def read(sessions: DataFrame, ids: DataFrame, now: Column, key: str = "session_id") -> DataFrame:
+    """Each asked id with its session and an outcome: found, expired or missing."""
+    outcome = F.when(F.col("expires_at").isNull(), "missing").when(F.col("expires_at") < now, "expired").otherwise("found")
+    return ids.join(sessions, key, "left").withColumn("outcome", outcome)

@@ -80,7 +80,28 @@ def illegal_transitions(spark, sf_dir):
     return S.illegal(events(spark, sf_dir), "user_id", "ts", status()).select("event_id", "last", "status")
 
 
-@query()
+def recursive(start: str, step: str, columns: str, last: str, key: str = "user_id") -> str:
+    """SQL that folds each user's events in order: the state's columns at the first event, at each later one (f the state before, o
+    the event), and what is selected of the folded rows."""
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, {STATUS_SQL} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, t, k, {start} FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.k, {step} FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT {key}, {columns} FROM f{last}"""
+
+
+LEGAL = "((f.status = 'pending' AND o.s IN ('modified', 'confirmed', 'cancelled')) OR (f.status = 'modified' AND o.s IN ('confirmed', 'cancelled')) OR (f.status = 'confirmed' AND o.s IN ('completed', 'cancelled')))"
+REPLAY = recursive(
+    f"CASE WHEN {LEGAL.replace('f.status', "'pending'")} THEN s ELSE 'pending' END AS status, CASE WHEN {LEGAL.replace('f.status', "'pending'")} OR s = 'pending' THEN 0 ELSE 1 END AS refused".replace("o.s", "s"),
+    f"CASE WHEN {LEGAL} THEN o.s ELSE f.status END, f.refused + CASE WHEN {LEGAL} OR o.s = f.status THEN 0 ELSE 1 END", "arg_max(status, k) AS status, CAST(arg_max(refused, k) AS INTEGER) AS refused", " GROUP BY user_id",
+)
+
+
+def bucket_sql(key: str) -> str:
+    """A bucket of three tokens that fills by one a day."""
+    full = "least(3.0::DOUBLE, f.tokens + (o.t - f.t) * (1 / 86400.0::DOUBLE))"
+    return recursive("2.0::DOUBLE AS tokens, true AS allowed", f"CASE WHEN {full} >= 1 THEN {full} - 1 ELSE {full} END, {full} >= 1", "event_id, allowed", "", key)
+
+
+@query(REPLAY)
 def session_replay(spark, sf_dir):
     return S.replayed(events(spark, sf_dir), "user_id", "ts", status())
 
@@ -169,7 +190,7 @@ def sliding_window_count(spark, sf_dir):
     return limits.sliding_count(events(spark, sf_dir), "user_id", 3600).select("event_id", "n_recent")
 
 
-@query()
+@query(recursive("NULL::DOUBLE AS a, t AS b, true AS allowed", "CASE WHEN f.a IS NULL OR f.a < o.t - 86400 THEN f.b ELSE f.a END, CASE WHEN f.a IS NULL OR f.a < o.t - 86400 THEN o.t ELSE f.b END, f.a IS NULL OR f.a < o.t - 86400", "event_id, allowed", "", "CAST(user_id AS VARCHAR) AS user_id"))
 def sliding_log_limit(spark, sf_dir):
     return limits.decided(events(spark, sf_dir), "user_id", lambda: limits.SlidingLog(2, 86400.0))
 
@@ -182,7 +203,7 @@ def fixed_window_limit(spark, sf_dir):
     return limits.decided(events(spark, sf_dir), "user_id", lambda: limits.FixedWindow(2, 86400.0))
 
 
-@query()
+@query(bucket_sql("CAST(user_id AS VARCHAR) AS user_id"))
 def token_bucket_limit(spark, sf_dir):
     return limits.decided(events(spark, sf_dir), "user_id", lambda: limits.TokenBucket(3.0, 1 / 86400))
 
@@ -275,7 +296,13 @@ def cache_put(spark, sf_dir):
     return M.put(cache, cache.where(F.col("key").cast("long") % 10 == 0)).select("key", "access_count")
 
 
-@query()
+_blank = M.PROMPT.replace("{page1_bottom}", "").replace("{page2_top}", "")
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b, text FROM conversations),
+l AS (SELECT *, string_split(regexp_replace(b, '^\s+|\s+$', '', 'g'), chr(10)) AS x, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS y FROM p WHERE b IS NOT NULL),
+a AS (SELECT *, {len(_blank)} + length(array_to_string(x[greatest(len(x) - {_s.bottom_lines} + 1, 1):], chr(10))) + length(array_to_string(y[1:{_s.top_lines}], chr(10))) AS n, bool_or(turn % 2 = 0) OVER (PARTITION BY b, text) AS known FROM l)
+SELECT conv_id, turn, NOT known AS is_boundary, (CASE WHEN known THEN {_s.same_low} WHEN length(n || ' characters') > 20 THEN {_s.boundary_high} ELSE {_s.boundary_medium} END)::DOUBLE AS confidence, CASE WHEN known THEN 'No reasoning provided' ELSE n || ' characters' END AS reasoning FROM a""")
 def model_detector(spark, sf_dir):
     """With a stand-in for the model: cached answers first, then the model for the others."""
     from packetlens.operators.boundaries import in_order
@@ -313,6 +340,12 @@ def layout_quality(spark, sf_dir):
     return L.quality(blocks(spark, sf_dir)).select("page", R6("layout_quality"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT page, y0 AS y, row_number() OVER (PARTITION BY page ORDER BY y0) AS k FROM b),
+f AS (SELECT page, k, [y] AS tops, [1] AS n FROM o WHERE k = 1 UNION ALL
+ SELECT g.page, g.k, CASE WHEN near > 0 THEN tops ELSE list_append(tops, y) END, CASE WHEN near > 0 THEN list_transform(n, lambda c, i: CASE WHEN i = near THEN c + 1 ELSE c END) ELSE list_append(n, 1) END
+ FROM (SELECT o.page, o.k, y, tops, n, CASE WHEN close > 0 AND tops[close] <> 0 THEN close ELSE coalesce(list_position(tops, y), 0) END AS near
+  FROM (SELECT o.page, o.k, o.y, f.tops, f.n, coalesce(list_position(list_transform(f.tops, lambda a: abs(a - o.y) < 5), true), 0) AS close FROM f JOIN o ON o.page = f.page AND o.k = f.k + 1) o) g),
+e AS (SELECT page, arg_max(n, k) AS n FROM f GROUP BY page)
+SELECT page, CAST(len(n) AS BIGINT) AS n_rows, CAST(list_max(n) AS INTEGER) AS most_columns, len(n) > 2 AND list_max(n) > 1 AND list_sum(n) / len(n)::DOUBLE > 1.5 AS is_table, round(least(list_sum(n) / len(n)::DOUBLE / 3, 1.0), 6) AS confidence FROM e""")
 def layout_tables(spark, sf_dir):
-    return L.tables(blocks(spark, sf_dir))
+    return L.tables(blocks(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))

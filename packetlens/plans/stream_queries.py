@@ -1,27 +1,30 @@
-"""Streaming queries, run over the events that are there; the batch twins in event_queries have the SQL."""
+"""Streaming queries, run over the events that are there."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from packetlens.streaming import events as S
 
+from .event_queries import bucket_sql
 from .registry import query
 
 
 @query("WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w")
 def stream_rates(spark, sf_dir):
-    rows = S.drained(S.rates(S.stream(spark, sf_dir)), f"rates_{uuid.uuid4().hex}", "complete")
+    rows = S.drained(S.rates(S.stream(spark, sf_dir)), "complete")
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM o)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTES AS ended, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, burst""")
 def stream_sessions(spark, sf_dir):
-    return S.drained(S.sessions(S.stream(spark, sf_dir)), f"sessions_{uuid.uuid4().hex}")
+    """All bursts, those still open when the input ends as well."""
+    rows = S.drained(S.sessions(S.stream(spark, sf_dir)), "complete")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}).withColumn("total", F.round("total", 6))
 
 
-@query()
+@query(bucket_sql("user_id"))
 def stream_token_bucket(spark, sf_dir):
-    return S.drained(S.bucket_decisions(S.stream(spark, sf_dir)), f"buckets_{uuid.uuid4().hex}")
+    return S.drained(S.bucket_decisions(S.stream(spark, sf_dir)))

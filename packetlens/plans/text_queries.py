@@ -240,8 +240,7 @@ def segment_names(spark, sf_dir):
 @query(f"{NAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY suggested_filename ORDER BY packet_id, segment_no) - 1 AS k FROM (SELECT packet_id, segment_no, document_type || '.pdf' AS suggested_filename FROM nm)) SELECT packet_id, segment_no, CASE WHEN k = 0 THEN suggested_filename ELSE regexp_replace(suggested_filename, '\\.[^.]*$', '') || '_' || k || '.pdf' END AS filename FROM k")
 def unique_filenames(spark, sf_dir):
     rows = G.named(*found(spark, sf_dir)).select("packet_id", "segment_no", F.concat("document_type", F.lit(".pdf")).alias("suggested_filename"))
-    rows = rows.withColumns({"one": F.lit(0), "at": F.struct("packet_id", "segment_no")})
-    return G.unique_names(rows, "one", "at").select("packet_id", "segment_no", "filename")
+    return G.unique_names(rows.withColumn("one", F.lit(0)), "one", lead="packet_id").select("packet_id", "segment_no", "filename")
 
 
 @query(f"{NAMED} SELECT packet_id, count(*) AS n_segments, CAST(sum(end_page - start_page + 1) AS BIGINT) AS n_pages FROM nm GROUP BY packet_id")
@@ -308,7 +307,7 @@ def document_markers(spark, sf_dir):
     return packet_pages(spark, sf_dir).select("packet_id", "page_no", *(c.alias(k) for k, c in T.markers(F.col("text")).items()))
 
 
-@query(f"WITH {PACKET} SELECT packet_id, page_no, array_to_string(list_concat({', '.join(f'regexp_extract_all(text, {quoted("(?i)" + d)}, 0)' for d in T.ALL_DATES[:2])}), ',') AS dates FROM p")
+@query(f"WITH {PACKET} SELECT packet_id, page_no, array_to_string(list_concat({', '.join(f'regexp_extract_all(text, {quoted("(?i)" + d)}, 0)' for d in T.ALL_DATES)}), ',') AS dates FROM p")
 def date_findall(spark, sf_dir):
     return packet_pages(spark, sf_dir).select("packet_id", "page_no", F.array_join(T.all_dates(F.col("text")), ",").alias("dates"))
 

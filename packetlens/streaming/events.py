@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -67,11 +69,28 @@ def upsert_into(path: str, key: str, at: str):
     return write
 
 
-def drained(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, and return the rows it gave."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a local one only where the session names none (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="packetlens-")
+    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now, and read the rows it gave. Each batch writes a folder of its own, so one that is repeated
+    changes nothing. append: the rows of all batches, which with a watermark lack windows that are still open; complete: the
+    last batch's rows, which are all windows there are."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        done.append(number)
+
+    query = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return rows.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(*(f"{folder}/batch={n}" for n in ([max(done)] if mode == "complete" else sorted(set(done)))))
