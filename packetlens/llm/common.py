@@ -34,6 +34,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    used = {c.lower() for c in df.columns}
+    while stem.lower() in used:
+        stem += "_"
+    return stem
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, which then gives freed memory back to the system: a worker lives on after its task, beside others."""
 

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the smallest doc_id reachable over fingerprints that differ in at most three bits. Null and empty
     texts have fingerprint zero and link like any other; repeated rows are all returned; a row without doc_id gets its
     fingerprint but takes no part in linking, and its component_id is that of its fingerprint, else null. An empty
-    table gives no rows; columns but doc_id and text are not read.
+    table gives no rows; columns but doc_id and text are not read. A very long text is hashed as a whole, alone in its task:
+    about 30 bytes of memory for each of its own.
     """
     marked = durable(with_fingerprints(docs, doc_id, text))
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))

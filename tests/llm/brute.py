@@ -1,8 +1,11 @@
 """Plain versions of the operators, a row at a time."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -114,3 +117,89 @@ def records(rows):
         again = len(b) >= 1000 and k != last[b]
         out.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last[b] if again else None))
     return out
+
+
+def boosted(rows, sizes, rounds, rate, ridge):
+    """Gradient boosting of two-level trees, an example at a time; returns the margin of a row."""
+    examples = [(r, y) for r in rows for y in [1] * r["positive"] + [0] * (r["n"] - r["positive"])]
+    hits = sum(y for _, y in examples)
+    bias = float(np.log((hits + 0.5) / (len(examples) - hits + 0.5)))
+    trees = []
+
+    def score(r):
+        total = bias
+        for f, c, sides in trees:
+            f2, c2, low, high = sides[r[f] >= c]
+            total += low if r[f2] < c2 else high
+        return total
+
+    def split(own):
+        best = None
+        for f, k in sizes.items():
+            for c in range(1, k):
+                leaves, gain = [], 0.0
+                for side in (False, True):
+                    p = [(y, 1 / (1 + np.exp(-score(r)))) for r, y in own if (r[f] >= c) == side]
+                    g, h = sum(y - q for y, q in p), sum(q * (1 - q) for _, q in p)
+                    leaves.append(rate * g / (h + ridge))
+                    gain += g * g / (h + ridge)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, f, c, *leaves)
+        return best[1:]
+
+    for _ in range(rounds):
+        f, c, _, _ = split(examples)
+        sides = [split([x for x in examples if (x[0][f] >= c) == side]) if any((x[0][f] >= c) == side for x in examples) else (f, 1, 0.0, 0.0) for side in (False, True)]
+        trees.append((f, c, sides))
+    return score
+
+
+def least_determinant(x, target, rules):
+    """The least log determinant of the regularised scatter of three quarters of the rows, over all subsets, and the rows within the
+    cut of that estimate."""
+    h, best = math.ceil(rules.COVER * len(x)), None
+    for own in combinations(range(len(x)), h):
+        y = x[list(own)]
+        mixed = rules.regular((h * np.cov(y.T, bias=True) * rules.CONSISTENT + rules.WIDER * target) / (h + rules.WIDER))
+        log_det = np.linalg.slogdet(mixed)[1]
+        if best is None or log_det < best[0]:
+            best = (log_det, y.mean(axis=0), mixed)
+    log_det, centre, mixed = best
+    d = [float((r - centre) @ np.linalg.inv(mixed) @ (r - centre)) for r in x]
+    return log_det, {i for i, v in enumerate(d) if v <= rules.CUT / 2}
+
+
+def attention(model, text):
+    """Score of a text by gated attention, a passage at a time."""
+    p, found = model.weights, []
+    from packetlens.llm import mil
+
+    for row in mil.bag(text):
+        x = (row - model.mean) / model.scale
+        h = [math.tanh(sum(x[i] * p["w1"][i][k] for i in range(len(x))) + p["b1"][k]) for k in range(mil.HIDDEN)]
+        e = sum(p["a"][g] * math.tanh(sum(h[k] * p["v"][k][g] for k in range(mil.HIDDEN))) / (1 + math.exp(-sum(h[k] * p["u"][k][g] for k in range(mil.HIDDEN)))) for g in range(mil.GATE))
+        found.append((e, h))
+    total = sum(math.exp(e) for e, _ in found)
+    z = [sum(math.exp(e) / total * h[k] for e, h in found) for k in range(mil.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(z[k] * p["c"][k] for k in range(mil.HIDDEN)) + p["d"])))
+
+
+def languages(rows, langid):
+    """(language, probability) of each document by naive Bayes, from dictionaries of counts."""
+    n, docs = {}, Counter()
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            docs[lang] += 1
+            n.setdefault(lang, Counter()).update(langid.buckets(t or "").tolist())
+    total = {k: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for k, c in n.items()}
+    out = {}
+    for i, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            out[i] = ("und", 0.0)
+            continue
+        own = Counter(langid.buckets(t).tolist())
+        logs = {k: math.log(docs[k] / sum(docs.values())) + sum(m * math.log((c[b] + langid.SMOOTHING) / total[k]) for b, m in own.items()) for k, c in sorted(n.items())}
+        top = max(logs.values())
+        best = next(k for k, v in logs.items() if v == top)
+        out[i] = (best, 1 / sum(math.exp(v - top) for v in logs.values()))
+    return out
