@@ -8,7 +8,7 @@ over the kind's calibrated threshold are added, of two that overlap the one with
 No text says what is personal data, so the labels are made: the base spans of all documents, written in other ways that the
 base patterns miss (without the plus, with other separators, with a spelled @), in their own surroundings, are of the kind;
 proposals of the texts themselves that meet no base span are not, nor are base spans that were spoiled (a wrong check digit,
-a part over 255, a date or an ISBN made of the digits). What defines a base span is thus never what the trees can go by. Training
+a part over 255, digits grouped like an order, a date or an ISBN). What defines a base span is thus never what the trees can go by. Training
 sees counts by feature combination over all documents; what comes to the driver is one row for each combination that
 occurs, of a fixed number that can. Each half of the documents calibrates the trees that the other half gave; the two
 scores' mean is the score. The trees are then one expression.
@@ -37,7 +37,7 @@ IP_PARTS = rf"^(?:{PART}|0+)(?:\.(?:{PART}|0+)){{3}}$"
 #: Of a generator, the kinds that it proposes, its pattern, and what a text must match for it to be tried.
 GENERATORS: dict[str, tuple[tuple[str, ...], str, str]] = {
     "token": (("email",), r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]++", "@"),
-    "spelled": (("email",), r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({<]?\x20?(?:@|at)\x20?[\])}>]?\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]?\x20?(?:\.|dot)\x20?[\])}>]?\x20?[A-Za-z0-9-]++)++", r"(?i)@|[\x20\[({<]at[\x20\])}>]"),
+    "spelled": (("email",), r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({<]?\x20?(?:@|at)\x20?[\])}>]?\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]?\x20?(?:\.|dot)\x20?[\])}>]?\x20?[A-Za-z0-9-]++)++", r"(?i)@|[\x20\[({<]at\x20?[\])}>]?\x20?[a-z0-9-]++\x20?[\[({<]?\x20?(?:\.|dot)"),
     "number": (("card", "phone"), r"[+(]?[0-9](?:[\x20().,:/_-]{0,2}+[0-9])++", "[0-9]"),
     "tight": (("card", "phone"), r"[+(]?[0-9](?:[().,:/_-]{0,2}+[0-9])++", "[0-9]"),
     "quad": (("ip",), r"(?i)(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?(?:[.,]|dot)[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])", "[0-9]"),
@@ -75,7 +75,7 @@ def running_sums(numbers: Column) -> Column:
 
 
 def clear_of(rows: Column, base: Column) -> Column:
-    """Of spans sorted by start those that overlap no base span (sorted, apart from each other); by running maxima, so in
+    """Of spans those that overlap no base span (base spans are apart from each other), by start; by running maxima, so in
     steps as many as there are spans."""
     mark = lambda x, own, i: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), i.alias("at"))
     every = F.array_sort(F.concat(F.transform(base, lambda x: mark(x, 0, F.lit(0))), F.transform(rows, lambda x, i: mark(x, 1, i))))
@@ -185,10 +185,13 @@ def spoiled(kind: str, found: Column) -> list[Column]:
     at = lambda i, n: F.substring(number, i, n)
     if kind == "card":
         other = F.concat(F.regexp_replace(number, "[0-9]$", ""), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
-        return [other] + [_grouped(other, by) for by in (".", "/", "  ", "_")]
-    date = F.concat(F.lit("20"), at(1, 2), F.lit("-0"), at(3, 1), F.lit("-1"), at(4, 1), F.lit(" 1"), at(5, 1), F.lit(":2"), at(6, 1))
+        unlike = ((r"^(.{3})(.{7})(.*)$", "$1-$2-$3"), (r"^(.{4})(.{2})(.{2})(.{2})(.{2})(.*)$", "$1-$2-$3 $4:$5:$6"), (r"^(.{3})(.)(.{3})(.{5})(.*)$", "$1-$2-$3-$4-$5"))
+        return [other, *(_grouped(other, by) for by in (".", "/", "  ", "_")), *(F.regexp_replace(number, a, b) for a, b in unlike)]
+    year, month, day = (F.concat(F.lit(x), at(i, n)) for x, i, n in (("20", 1, 2), ("0", 3, 1), ("1", 4, 1)))
+    dates = [F.concat_ws(by, *parts) for by, parts in (("-", (year, month, day)), (".", (day, month, year)), ("/", (day, month, year)))]
+    clock = F.concat(dates[0], F.lit(" 1"), at(5, 1), F.lit(":2"), at(6, 1))
     book = F.concat(F.lit("978-"), at(1, 1), F.lit("-"), at(2, 3), F.lit("-"), at(5, 5), F.lit("-"), at(1, 1))
-    return [number, at(1, 8), date, book, F.concat(at(1, 3), F.lit("."), at(4, 9))]
+    return [number, at(1, 8), *dates, clock, book, F.concat(at(1, 3), F.lit("."), at(4, 9))]
 
 
 # Features of a proposal: name -> (column, number of values). Values are 0.. .
@@ -240,9 +243,9 @@ def features(kind: str, x: Column) -> dict[str, tuple[Column, int]]:
     }
 
 
-def proposed(kind: str, generator: str, own: str) -> Column:
-    """Proposals of the generator that overlap no base span of the kind."""
-    rows = F.col(f"{own}{generator}")
+def proposed(kind: str, own: str) -> Column:
+    """Proposals of the kind's generators that overlap no base span of the kind."""
+    rows = F.concat(*(f"{own}{g}" for g in generators_of(kind)))
     if kind in ("card", "phone"):
         rows = F.filter(rows, lambda x: F.length(digits(x["found"])) >= LEAST_DIGITS)
     return let(rows, lambda r: clear_of(r, F.col(f"{own}{kind}")))
@@ -263,8 +266,8 @@ def counts(rows: DataFrame, kind: str) -> DataFrame:
     rows = with_proposals(with_base(rows, "text", own, (kind,)), (kind,), "text", own)
     example = lambda x, found, y: F.struct(found.alias("found"), x["before"].alias("before"), x["after"].alias("after"), F.lit(y).alias("y"))
     made = F.flatten(F.transform(f"{own}{kind}", lambda x: F.array(*(example(x, v, y) for w, y in ((variants, 1), (spoiled, 0)) for v in w(kind, x["found"])))))
-    met = [F.transform(proposed(kind, g, own), lambda x: example(x, x["found"], 0)) for g in generators_of(kind)]
-    rows = rows.select("fold", F.explode(F.concat(made, *met)).alias("x"))
+    met = F.transform(proposed(kind, own), lambda x: example(x, x["found"], 0))
+    rows = rows.select("fold", F.explode(F.concat(made, met)).alias("x"))
     of = features(kind, F.col("x"))
     return rows.select("fold", *(c.alias(f) for f, (c, _) in of.items()), F.col("x.y").alias("y")).groupBy("fold", *of).agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
 
@@ -286,24 +289,25 @@ class Boosted:
         held = sorted(((margin(halves[1 - r["fold"]], r), r["n"], r["positive"]) for r in rows), reverse=True)
         every, share = sum(n for _, n, _ in held), sum(p for _, _, p in held)
         share = share / every if every else 0.0
+        levels: dict[float, list[int]] = {}
+        for m, a, b in held:
+            own = levels.setdefault(m, [0, 0])
+            own[0], own[1] = own[0] + a, own[1] + b
         threshold, n, positive = None, 0, 0
-        for k, (m, a, b) in enumerate(held):
+        for m, (a, b) in levels.items():  # from the best score down; a score at which most are not of the kind is no threshold
             n, positive = n + a, positive + b
-            if (k + 1 == len(held) or held[k + 1][0] < m) and positive + PRIOR * share >= PRECISION * (n + PRIOR):
+            if 2 * b >= a and positive + PRIOR * share >= PRECISION * (n + PRIOR):
                 threshold = m - 1e-9
         return cls(halves, threshold)
 
     def margin(self, row: dict) -> float:
         return sum(margin(h, row) for h in self.halves) / 2
 
-    def margin_of(self, of: Callable[[str], Column]) -> Column:
-        """The trees as one expression over feature columns."""
-        node = lambda x: F.when(of(x[0]) < x[1], F.lit(x[2])).otherwise(F.lit(x[3]))
-        out = F.lit(sum(bias for bias, _ in self.halves) / 2)
-        for _, trees in self.halves:
-            for f, c, low, high in trees:
-                out = out + F.when(of(f) < c, node(low)).otherwise(node(high)) / 2
-        return out
+    def margin_sql(self, of: str) -> str:
+        """The trees as one SQL expression over the fields of a struct."""
+        node = lambda x: f"CASE WHEN {of}.{x[0]} < {x[1]} THEN {x[2] / 2!r}D ELSE {x[3] / 2!r}D END"
+        trees = [f"CASE WHEN {of}.{f} < {c} THEN {node(low)} ELSE {node(high)} END" for _, own in self.halves for f, c, low, high in own]
+        return " + ".join([f"{sum(bias for bias, _ in self.halves) / 2!r}D", *trees])
 
 
 def grown(fit: list[dict], sizes: dict[str, int]) -> tuple[float, list[Tree]]:
@@ -365,17 +369,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[s
     return models
 
 
-def added(kind: str, model: Boosted, own: str) -> Column:
-    """array<struct<start, kind, end, margin>> of the proposals over the threshold, without marks at their ends."""
-
-    def scored(generator: str) -> Column:
-        head = lambda x: F.length(F.regexp_extract(x["found"], r"^[^\p{L}\p{N}+(]*", 0))
-        tail = lambda x: F.length(F.regexp_extract(x["found"], r"[^\p{L}\p{N}]*$", 0))
-        rows = F.transform(proposed(kind, generator, own), lambda x: F.struct((x["start"] + head(x)).alias("start"), (x["end"] - tail(x)).alias("end"), *(c.alias(f) for f, (c, _) in features(kind, x).items())))
-        rows = F.transform(rows, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), model.margin_of(lambda f: x[f]).alias("margin")))
-        return F.filter(rows, lambda x: (x["margin"] >= F.lit(model.threshold)) & (x["start"] < x["end"]))
-
-    return F.concat(*(scored(g) for g in generators_of(kind)))
+def with_added(rows: DataFrame, kind: str, model: Boosted, own: str) -> DataFrame:
+    """Adds {own}added_{kind}, array<struct<start, kind, end, margin>> of the proposals over the threshold, without marks at their ends."""
+    head = lambda x: F.length(F.regexp_extract(x["found"], r"^[^\p{L}\p{N}+(]*", 0))
+    tail = lambda x: F.length(F.regexp_extract(x["found"], r"[^\p{L}\p{N}]*$", 0))
+    of = lambda x: F.struct((x["start"] + head(x)).alias("start"), (x["end"] - tail(x)).alias("end"), *(c.alias(f) for f, (c, _) in features(kind, x).items()))
+    rows = rows.withColumn(f"{own}of", F.transform(proposed(kind, own), of))
+    scored = f"transform(`{own}of`, x -> named_struct('start', x.start, 'kind', {KINDS.index(kind)}, 'end', x.end, 'margin', {model.margin_sql('x')}))"
+    return rows.withColumn(f"{own}added_{kind}", F.expr(f"filter({scored}, x -> x.margin >= {model.threshold!r}D AND x.start < x.end)")).drop(f"{own}of")
 
 
 def with_spans(rows: DataFrame, models: dict[str, Boosted], text: str, own: str) -> DataFrame:
@@ -383,8 +384,10 @@ def with_spans(rows: DataFrame, models: dict[str, Boosted], text: str, own: str)
     Of two added spans that follow each other by start and overlap, the one with the smaller score goes, the later one if equal."""
     live = tuple(k for k in KINDS if models[k].threshold is not None)
     rows = with_proposals(with_base(rows, text, own), live, text, own)
+    for kind in live:
+        rows = with_added(rows, kind, models[kind], own)
     none = F.array().cast("array<struct<start: int, kind: int, end: int, margin: double>>")
-    rows = rows.withColumn(f"{own}found", F.array_sort(F.concat(none, *(added(k, models[k], own) for k in live))))
+    rows = rows.withColumn(f"{own}found", F.array_sort(F.concat(none, *(f"{own}added_{k}" for k in live))))
     every = F.col(f"{own}found")
     beaten = lambda x, y, ties: (x["start"] < y["end"]) & (y["start"] < x["end"]) & ((y["margin"] > x["margin"]) | (F.lit(ties) & (y["margin"] == x["margin"])))
     # get() past either end is null, which beats nothing.

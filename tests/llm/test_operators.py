@@ -199,7 +199,7 @@ def test_pii_adds_spans_in_other_formats(spark):
     found = {r.doc_id: (r.spans, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in pii.find(df).collect()}
     spans = {i: t[slice(*map(int, s.split(",")[0].split(":")[1:]))] for i, t in planted if (s := found[i][0])}
     caught = [i for i, t in planted if t[9:-9] == spans.get(i)]
-    wrong = [i for i, _ in plain if found[i][0]]
+    wrong = [(t, s) for i, t in plain if (s := found[i][0]) and len(s.split(",")) > found[i][1]]  # some pass a base check by chance
     assert len(caught) >= 0.75 * len(planted) and not wrong
     more = sum(len(s.split(",")) - n for i, (s, n) in found.items() if i < 10**6 and s)
     assert 0 <= more < 20  # the table's own added spans
