@@ -38,6 +38,8 @@ DIMS, SCALE = 5, 512
 #: Share of a group's documents that the estimate rests on, of normal vectors that stay, and documents that the wider scatter
 #: and centre count for.
 COVER, STAY, WIDER = 0.75, 0.999999, 20
+#: What a step must take off the logarithm of the determinant for another one to follow.
+LEAST_GAIN = 0.01
 #: Scatter that is taken for none, in any direction: that of the fixed point itself.
 LEAST_SCATTER = 1.0
 BINS, BINS_PER_LOG = 128, 16
@@ -197,7 +199,7 @@ def _state(lang: str, source: str, start: int, n: float, centre: np.ndarray, sca
 
 
 def refit(bins: pd.DataFrame) -> pd.DataFrame:
-    """STATE of one group and start from the bins, in order of distance, that hold its inner COVER."""
+    """STATE of one group and start from the bins (with the group's target), in order of distance, that hold its inner COVER."""
     bins = bins.sort_values("bin")
     n = bins["n"].to_numpy()
     own = bins.iloc[: int(np.searchsorted(np.cumsum(n), math.ceil(COVER * n.sum()))) + 1]
@@ -234,16 +236,20 @@ def estimates(rows: DataFrame, wider: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("array<double>")
     groups = groups.join(small(wider), "lang", "left") if wider is not None else groups.withColumns({"wider": none, "target": none})
     now = durable(groups.mapInPandas(_starts, STATE))
-    while now.where("active").limit(1).count():
+    left = now.count()
+    while left:
+        few = (lambda x: F.broadcast(x)) if left <= 3 * BROADCAST_GROUPS else (lambda x: x)
         old = now.where("active")
-        asked = rows.join(small(old.select("lang", "source", "start", "centre", "inverse", "target")), ["lang", "source"])
+        asked = rows.join(few(old.select("lang", "source", "start", "centre", "inverse")), ["lang", "source"])
         bin_no = F.least(F.floor(F.log1p(F.greatest(distance(F.col("centre"), F.col("inverse")), F.lit(0.0))) * BINS_PER_LOG), F.lit(BINS - 1)).alias("bin")
-        bins = asked.groupBy("lang", "source", "start", bin_no).agg(F.count("*").alias("n"), F.first("target").alias("target"), *sums())
-        new = bins.groupBy("lang", "source", "start").applyInPandas(refit, STATE)
-        # A step that does not shrink the determinant ends its start: each goes on for finitely many steps.
-        kept = now.alias("a").join(new.alias("b"), ["lang", "source", "start"], "left").withColumn("better", F.coalesce(F.col("b.log_det") < F.col("a.log_det") - 1e-9, F.lit(False)))
-        pick = [F.when(F.col("better"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("n", "centre", "scatter", "inverse", "target", "log_det")]
-        now = durable(kept.select("lang", "source", "start", *pick, F.col("better").alias("active")))
+        bins = asked.groupBy("lang", "source", "start", bin_no).agg(F.count("*").alias("n"), *sums())
+        new = bins.join(few(old.select("lang", "source", "start", "target")), ["lang", "source", "start"]).groupBy("lang", "source", "start").applyInPandas(refit, STATE)
+        # A step that hardly shrinks the determinant ends its start: each goes on for finitely many steps.
+        both = now.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+        best = F.min_by(F.struct("n", "centre", "scatter", "inverse", "target", "log_det", "turn"), F.struct("log_det", "turn")).alias("e")
+        found = both.groupBy("lang", "source", "start").agg(best, (F.max(F.when(F.col("turn") == 0, F.col("log_det"))) - F.max(F.when(F.col("turn") == 1, F.col("log_det")))).alias("gain"))
+        now = durable(found.select("lang", "source", "start", *(f"e.{c}" for c in ("n", "centre", "scatter", "inverse", "target", "log_det")), F.coalesce(F.col("gain") > LEAST_GAIN, F.lit(False)).alias("active")))
+        left = now.where("active").count()
     best = F.min_by(F.struct("n", "centre", "scatter", "target"), F.struct("log_det", "start")).alias("e")
     return now.groupBy("lang", "source").agg(best).select("lang", "source", "e.*")
 
