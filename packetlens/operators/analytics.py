@@ -114,7 +114,7 @@ def speed(seconds: Column) -> Column:
 def load_factor(rows: DataFrame, seconds: str, key: str = "event_type", last: int = 1000, least: int = 100, chunk: int = 100_000) -> DataFrame:
     """Mean of the key's last 1000 durations at each event, from 100 on. A key's events are cut into chunks by rank, each with the
     999 before it, so that no key is one task."""
-    ranked = with_rank(rows, F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], key, name="__rank")
+    ranked = with_rank(rows, ["ts", "event_id"], key, name="__rank")
     w = Window.partitionBy(key, "chunk").orderBy("__rank").rowsBetween(1 - last, 0)
     out = in_chunks(ranked, chunk, last - 1, "__rank").withColumn("recent_mean", F.when(F.count("*").over(w) >= least, F.avg(seconds).over(w)))
     return out.where("not context").drop("chunk", "context", "__rank")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import range_of
+from .scans import running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -46,16 +46,12 @@ def best(swept: DataFrame, metric: str = "f1") -> DataFrame:
 
 
 def roc(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """(score, p, n, tpr, fpr) for each distinct score, highest first. Scores are counted before the running sums, and these run
-    within ranges of the scores; a range's totals are broadcast, a row for each."""
+    """(score, p, n, tpr, fpr) for each distinct score, highest first. Scores are counted before the running sums."""
     counts = rows.groupBy(score).agg(F.count_if(truth).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    counts = counts.withColumn("__range", range_of(counts, -F.col(score)))
-    before, every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    totals = counts.groupBy("__range").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
-    totals = totals.select("__range", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in "pn"), *(F.sum(f"__{c}").over(every).alias(f"__{c}_all") for c in "pn"))
-    down = Window.partitionBy("__range").orderBy(F.col(score).desc())
-    rate = lambda c: ratio(F.col(f"__{c}_before") + F.sum(c).over(down), F.col(f"__{c}_all"))
-    return counts.join(F.broadcast(totals), "__range").select(score, "p", "n", rate("p").alias("tpr"), rate("n").alias("fpr"), ratio(F.col("p"), F.col("__p_all")).alias("__up"), ratio(F.col("n"), F.col("__n_all")).alias("__right"))
+    sums = running(counts, None, [F.col(score).desc()], "__rank", {"__p": "p", "__n": "n"})
+    every = dict(zip("pn", sums.agg(F.sum("p"), F.sum("n")).first(), strict=True))
+    share = lambda c, of: ratio(F.col(of), F.lit(every[c]).cast("long"))
+    return sums.select(score, "p", "n", share("p", "__p").alias("tpr"), share("n", "__n").alias("fpr"), share("p", "p").alias("__up"), share("n", "n").alias("__right"))
 
 
 def auc(rows: DataFrame, score: str, truth: str) -> DataFrame:

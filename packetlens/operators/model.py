@@ -75,9 +75,8 @@ def cache_statistics(cache: DataFrame) -> DataFrame:
 
 
 def trimmed(cache: DataFrame, keep: float = 0.7) -> DataFrame:
-    """The share of entries used last, by ranks within ranges of time."""
-    newest_first = -F.unix_micros(F.col("accessed_at").cast("timestamp"))
-    ranked = with_rank(cache, newest_first, [F.desc("accessed_at"), "key"], name="__rank")
+    """The share of entries used last."""
+    ranked = with_rank(cache, [F.desc("accessed_at"), "key"], name="__rank")
     return ranked.where(F.col("__rank") <= int(cache.count() * keep)).drop("__rank")
 
 

@@ -49,13 +49,9 @@ def named(found: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select(*keys, "document_type", "date", "identifier", T.suggested_name(F.col("document_type"), F.col("date"), F.col("identifier"), F.col("segment_no")).alias("suggested_filename"), "summary")
 
 
-def unique_names(rows: DataFrame, packet: str = "packet_id", order: str = "segment_no", name: str = "suggested_filename", lead: str | None = None) -> DataFrame:
-    """Adds filename: a name's later bearers get _1, _2 .. before the suffix. lead: a numeric column that the order begins with, where
-    a name can have very many bearers; they are then counted by ranges of it."""
-    if lead is None:
-        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(packet, name).orderBy(order)))
-    else:
-        rows = with_rank(rows, F.col(lead), [lead, order], packet, name, name="__k")
+def unique_names(rows: DataFrame, packet: str = "packet_id", order: str | list[str] = "segment_no", name: str = "suggested_filename") -> DataFrame:
+    """Adds filename: a name's later bearers get _1, _2 .. before the suffix. A name may have very many bearers."""
+    rows = with_rank(rows, [order] if isinstance(order, str) else order, packet, name, name="__k")
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
     return rows.withColumn("filename", F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), (F.col("__k") - 1).cast("string"), suffix))).drop("__k")
 

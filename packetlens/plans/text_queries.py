@@ -240,7 +240,7 @@ def segment_names(spark, sf_dir):
 @query(f"{NAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY suggested_filename ORDER BY packet_id, segment_no) - 1 AS k FROM (SELECT packet_id, segment_no, document_type || '.pdf' AS suggested_filename FROM nm)) SELECT packet_id, segment_no, CASE WHEN k = 0 THEN suggested_filename ELSE regexp_replace(suggested_filename, '\\.[^.]*$', '') || '_' || k || '.pdf' END AS filename FROM k")
 def unique_filenames(spark, sf_dir):
     rows = G.named(*found(spark, sf_dir)).select("packet_id", "segment_no", F.concat("document_type", F.lit(".pdf")).alias("suggested_filename"))
-    return G.unique_names(rows.withColumn("one", F.lit(0)), "one", lead="packet_id").select("packet_id", "segment_no", "filename")
+    return G.unique_names(rows.withColumn("one", F.lit(0)), "one", ["packet_id", "segment_no"]).select("packet_id", "segment_no", "filename")
 
 
 @query(f"{NAMED} SELECT packet_id, count(*) AS n_segments, CAST(sum(end_page - start_page + 1) AS BIGINT) AS n_pages FROM nm GROUP BY packet_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetlens.runtime import shared_dir
+
 
 def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a file stream; ts is a timestamp."""
@@ -70,9 +71,8 @@ def upsert_into(path: str, key: str, at: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a local one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="packetlens-")
-    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
