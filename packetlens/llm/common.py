@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text that is held as Python words at a time, in bytes.
-PIECE_BYTES = 1 << 20
-
+from packetlens.runtime import durable, releasing, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="packetlens-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path
+__all__ = ["as_bytes", "durable", "free_name", "held_out", "map_batches", "pieces", "record_batch", "releasing", "shared_dir"]
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that a lost executor costs no earlier stage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Text that is held as Python words at a time, in bytes.
+PIECE_BYTES = 1 << 20
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -42,20 +26,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, which then gives freed memory back to the system: a worker lives on after its task, beside others."""
-
-    def outer(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return outer
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow; `make` runs once a task and returns what turns a batch into batches."""
 

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetlens.operators.scans import looked_up, running
+
 from .common import durable
-from .scans import looked_up, running
 
 FAN = 16
 #: Nodes of a window, whole runs.

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlens.operators.scans import looked_up, running
+
 from .common import durable
-from .scans import looked_up, running
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, REPEATS = 1.5, 2

@@ -1,7 +1,7 @@
 """Prefix trie of rebuilt conversations by composable fingerprints.
 
 A conversation is rebuilt from the head of another one and its own later turns, but only as references to stored turns. The
-fingerprint of turns is a product in a monoid (`scans.Product`): a pair of their number and a polynomial of their contents' hashes,
+fingerprint of turns is a product in a monoid (`Product`): a pair of their number and a polynomial of their contents' hashes,
 modulo three primes. One scan gives the products of all stored prefixes; the rebuilt prefix is the head's product times the
 own turns' product without the turns left out, which is arithmetic on numbers. Prefixes that share depth and fingerprint are a node.
 That they are equal is verified: stored turns of one content hash by their whole role and text, and a node's members by the content
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetlens.operators.scans import Product, running
+
 from .common import durable, record_batch, releasing
-from .scans import Product, running
 
 #: The three largest primes below 2**31.
 PRIMES = (2147483647, 2147483629, 2147483587)

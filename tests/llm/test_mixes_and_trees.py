@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from packetlens.llm import merkle, mixing, queries, scans, trie
+from packetlens.llm import merkle, mixing, queries, trie
 
 from . import brute
 
@@ -36,25 +36,6 @@ def digest(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-# Scans
-
-
-def test_running_sums_and_products(spark):
-    data = [(k, i, (i * 7919 + 3) % 1009) for k, n in ((None, 40), ("a", 1), ("b", 900), ("c", 3)) for i in range(n)]
-    p = scans.Product("e", 1_000_003, 2147483629)
-    got = scans.running(spark.createDataFrame(data, "k string, i long, e long").repartition(7), "k", ["i"], "n", {"s": "e"}, {"v": p})
-    want = []
-    for key in (None, "a", "b", "c"):
-        total, v = 0, 0
-        for j, (k, i, e) in enumerate(x for x in data if x[0] == key):
-            before, total, v = v, total + e, (v + e * pow(p.base, j, p.prime)) % p.prime
-            want.append((k, i, e, j + 1, total, v, before))
-    assert rows(got) == brute.order(want)
-    whole = scans.running(spark.createDataFrame(data, "k string, i long, e long"), None, ["k", "i"], "n", {"s": "e"})
-    assert sorted(r.n for r in whole.collect()) == list(range(1, len(data) + 1)) and max(r.s for r in whole.collect()) == sum(x[2] for x in data)
-    assert scans.running(got.limit(0).select("k", "i", "e"), "k", ["i"]).count() == 0
-
-
 # Mixing
 
 
