@@ -1,9 +1,13 @@
 """Running sums along an order, edits that follow each other, reuse of cached pages, alerts and waits: plain versions and small cases."""
 
 import json
+from collections import OrderedDict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from packetlens.operators import caching as C
 from packetlens.operators import edits as E
 from packetlens.operators import scans
 
@@ -70,3 +74,53 @@ def test_no_edits_or_no_segments(spark):
     none = spark.createDataFrame([], E.SEGMENT)
     left, log = E.in_order(none, spark.createDataFrame([(1, 1, "remove", ["a"], None, None, None, None, "pending")], EDIT))
     assert left.count() == 0 and log.first().reason == "segment not found"
+
+
+class Lru:
+    """A cache that keeps what was used last, as a program holds it."""
+
+    def __init__(self, budget):
+        self.b, self.held, self.evictions, self.log = budget, OrderedDict(), 0, []
+
+    def access(self, key, size, t):
+        b, out = self.b, "miss"
+        if key in self.held:
+            out = "expired" if b.seconds is not None and t - self.held[key][1] > b.seconds else "hit"
+            if out == "hit":
+                self.held.move_to_end(key)
+                return self.log.append(out)
+            del self.held[key]
+            self.evictions += 1
+        while self.held and (b.memory is not None and sum(s for s, _ in self.held.values()) + size > b.memory or b.items is not None and len(self.held) >= b.items):
+            self.held.popitem(last=False)
+            self.evictions += 1
+        self.held[key] = size, t
+        return self.log.append(out)
+
+
+BUDGETS = [C.Budget("a", memory=20), C.Budget("b", items=4, seconds=40), C.Budget("c"), C.Budget("d", memory=9, items=3, seconds=15), C.Budget("e", memory=3)]
+
+
+@pytest.mark.parametrize("range_rows", [1, 7, 10_000])
+def test_caches_of_all_budgets_from_one_log(spark, range_rows):
+    rng = np.random.default_rng(5)
+    keys = [None if k == 0 else int(k) for k in rng.zipf(1.4, 400) % 15]
+    log = [(i, k, 1 + (k or 0) * 5 % 7, 1000 + 3 * i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(log, "event_id long, key long, size long, second long").repartition(3).withColumn("ts", F.timestamp_seconds("second"))
+    plain = [Lru(b) for b in BUDGETS]
+    for _, k, size, t in log:
+        for c in plain:
+            c.access(k, size, t)
+    got = C.outcomes(df.drop("size"), "key", 1 + F.coalesce("key", F.lit(0)) * 5 % 7, "ts", ["second"], BUDGETS, range_rows).orderBy("event_id").collect()
+    for b, c in zip(BUDGETS, plain, strict=True):
+        assert [r[b.name] for r in got] == c.log, b
+    sums = {r.budget: r for r in C.totals(df, "key", F.col("size"), "ts", ["second"], BUDGETS, range_rows).collect()}
+    for b, c in zip(BUDGETS, plain, strict=True):
+        r = sums[b.name]
+        assert (r.hits, r.expired, r.evictions, r.held, r.held_size) == (c.log.count("hit"), c.log.count("expired"), c.evictions, len(c.held), sum(s for s, _ in c.held.values())), b
+
+
+def test_cache_of_an_empty_log(spark):
+    none = spark.createDataFrame([], "event_id long, key long, ts timestamp")
+    assert C.reuse_distances(none, "key", F.lit(1), ["ts"]).count() == 0
+    assert {(r.hits, r.evictions, r.held) for r in C.totals(none, "key", F.lit(1), "ts", ["ts"], BUDGETS).collect()} == {(0, 0, 0)}

@@ -19,7 +19,7 @@ def cell(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return "" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        return "" if math.isnan(v) else str(int(v)) if v.is_integer() else repr(round(v, 6) + 0.0)  # a column with nulls may come as floats
     return str(pd.Timestamp(v)) if hasattr(v, "isoformat") else str(v)
 
 
