@@ -1,6 +1,6 @@
 """Named queries; importing this package registers them."""
 
-from . import cache_queries, edit_queries, event_queries, results_queries, stream_queries, text_queries
+from . import cache_queries, edit_queries, event_queries, ratio_queries, results_queries, stream_queries, text_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "cache_queries", "edit_queries", "event_queries", "results_queries", "stream_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "cache_queries", "edit_queries", "event_queries", "ratio_queries", "results_queries", "stream_queries", "text_queries"]

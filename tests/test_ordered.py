@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetlens.operators import caching as C
 from packetlens.operators import edits as E
+from packetlens.operators import ratios as R
 from packetlens.operators import scans
 
 
@@ -124,3 +125,43 @@ def test_cache_of_an_empty_log(spark):
     none = spark.createDataFrame([], "event_id long, key long, ts timestamp")
     assert C.reuse_distances(none, "key", F.lit(1), ["ts"]).count() == 0
     assert {(r.hits, r.evictions, r.held) for r in C.totals(none, "key", F.lit(1), "ts", ["ts"], BUDGETS).collect()} == {(0, 0, 0)}
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        last = row
+        row = [0]
+        for j, d in enumerate(b):
+            row.append(last[j] + 1 if c == d else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def plain_ratio(a, b):
+    return 1.0 if a == b else 2 * plain_common(a, b) / (len(a) + len(b))
+
+
+def plain_partial(a, b):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    return max([plain_ratio(short, long[i : i + len(short)]) for i in range(len(long) + 1)])
+
+
+def test_ratios_against_the_plain_table():
+    rng = np.random.default_rng(2)
+    word = lambda n, k: "".join(rng.choice(list("abcdeé 😀x"[:k]), n))
+    for _ in range(150):
+        a, b = word(rng.integers(0, 90), int(rng.integers(2, 9))), word(rng.integers(0, 90), int(rng.integers(2, 9)))
+        if rng.random() < 0.5 and a:
+            b = b[:5] + a[3:] + b[:9]
+        assert R.common(a, b) == plain_common(a, b) and R.ratio(a, b) == plain_ratio(a, b)
+        assert abs(R.partial_ratio(a, b) - plain_partial(a, b)) < 1e-12, (a, b)
+
+
+def test_text_accuracy(spark):
+    rows = [(1, "Hello  World", "hello world"), (2, "the quick brown fox", "fox brown quick the quick"), (3, None, ""), (4, "abc", None), (5, "abcX", "zzabc"), (6, "ÉÈ", "éÀ"), (7, "word " * 8000, "word " * 7999 + "ward ")]
+    got = {r.i: r for r in R.text_accuracy(spark.createDataFrame(rows, "i long, e string, a string"), "e", "a").collect()}
+    assert (got[1].char_accuracy, got[1].word_f1, got[1].char_count_expected, got[1].char_count_actual) == (1.0, 1.0, 12, 11)
+    assert got[2].token_accuracy == 1.0 and got[2].char_accuracy < 0.7 and (got[2].word_count_expected, got[2].word_count_actual) == (4, 5)
+    assert got[3].char_accuracy == got[3].partial_accuracy == 1.0 and (got[4].char_accuracy, got[4].partial_accuracy, got[4].token_accuracy) == (0.0, 1.0, 0.0)
+    assert got[5].partial_accuracy == 0.86 and got[6].token_accuracy == 0.0 and got[6].char_accuracy == 0.5 and got[7].char_accuracy == 1.0
+    assert R.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1.0 and R.token_set_ratio("a b", "c d") == 2 / 6
