@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from packetlens.runtime import durable
 
-from .scans import running
+from .scans import running, with_last
 
 #: Accesses of a range at least; there are at most as many ranges as accesses of a range.
 RANGE_ROWS = 50_000
@@ -89,9 +89,7 @@ def reuse_distances(log: DataFrame, key: str, size: Column, order: Sequence[Colu
     the size and number of entries used since then, this one included; null at a key's first access. An entry's size must not
     change. A key that has very many accesses is cut like all others."""
     rows = running(log.withColumn("size", size.cast("long")), None, order, "at", {"upto": "size"})
-    rows = durable(running(rows, key, ["at"], "nth"))
-    before = rows.select(F.col(key).alias("__key"), (F.col("nth") + 1).alias("nth"), F.col("at").alias("last"), F.col("upto").alias("upto_last"))
-    rows = rows.join(before, rows[key].eqNullSafe(before["__key"]) & (rows["nth"] == before["nth"]), "left").select(*(rows[c] for c in rows.columns), "last", "upto_last")
+    rows = with_last(rows, key, ["at"], {"last": "at", "upto_last": "upto"})
     n = log.count()
     span = max(range_rows, math.isqrt(max(n - 1, 0)) + 1)
     rows = durable(rows.withColumns({"one": F.lit(1).cast("long"), "range": F.floor((F.col("at") - 1) / span).cast("long"), "last_range": F.floor((F.col("last") - 1) / span).cast("long")}))

@@ -1,4 +1,4 @@
-"""Running sums, counts and hash products along an order, for tables and groups of any size.
+"""Running sums, counts, maxima and hash products along an order, for tables and groups of any size.
 
 One range shuffle deals the rows by group and order, so that a group with very many rows is cut as well. A task scans its range
 with a few numbers in memory; the scanned rows are written once, and of each range its first and last row come to the driver,
@@ -57,12 +57,12 @@ def _begins(keys: list[pa.Array], last: list[pa.Array] | None, n: int) -> np.nda
 class _Scan:
     """The open group of a task, and the columns that a batch gets."""
 
-    def __init__(self, sums: Sequence[str], products: Sequence[Product]):
-        self.sums, self.products = sums, products
-        self.n, self.totals, self.last, self.is_first = 0, [0] * (len(sums) + len(products)), None, True
+    def __init__(self, sums: Sequence[str], maxima: Sequence[str], products: Sequence[Product]):
+        self.sums, self.maxima, self.products = sums, maxima, products
+        self.n, self.totals, self.last, self.is_first = 0, [0] * len(sums) + [-np.inf] * len(maxima) + [0] * len(products), None, True
 
     def columns(self, batch: pa.RecordBatch, by: list[str]) -> list[np.ndarray]:
-        """first group?, count, then of each sum and product the value up to the row, of each product also that before it."""
+        """first group?, count, then of each sum, maximum and product the value up to the row, of each product also that before it."""
         rows = batch.num_rows
         keys = [batch.column(batch.schema.get_field_index(c)) for c in by]
         begins = _begins(keys, self.last, rows)
@@ -84,7 +84,16 @@ class _Scan:
         for name, total in zip(self.sums, self.totals, strict=False):
             out.append(since(pc.fill_null(batch.column(batch.schema.get_field_index(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64), total))
             ended.append(int(out[-1][-1]))
-        for p, total in zip(self.products, self.totals[len(self.sums) :], strict=True):
+        for name, total in zip(self.maxima, self.totals[len(self.sums) :], strict=False):
+            value = pc.fill_null(batch.column(batch.schema.get_field_index(name)), -np.inf).to_numpy(zero_copy_only=False)
+            cuts = np.append(np.flatnonzero(begins), rows).tolist()
+            value = value.copy()
+            value[: cuts[0]] = np.maximum(np.maximum.accumulate(value[: cuts[0]]), total)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                np.maximum.accumulate(value[a:b], out=value[a:b])
+            out.append(value)
+            ended.append(float(value[-1]))
+        for p, total in zip(self.products, self.totals[len(self.sums) + len(self.maxima) :], strict=True):
             value = batch.column(batch.schema.get_field_index(p.column)).to_numpy(zero_copy_only=False).astype(np.int64)
             term = value % p.prime * powers(p.base, count - 1, p.prime) % p.prime
             now = since(term, total) % p.prime
@@ -94,21 +103,23 @@ class _Scan:
         return out
 
 
-def running(rows: DataFrame, by: str | Sequence[str] | None, order: Sequence[Column | str], count: str = "n", sums: dict[str, str] | None = None, products: dict[str, Product] | None = None) -> DataFrame:
-    """`rows` with the count (from 1), sums and products of each row's group `by` up to and with that row.
+def running(rows: DataFrame, by: str | Sequence[str] | None, order: Sequence[Column | str], count: str = "n", sums: dict[str, str] | None = None, products: dict[str, Product] | None = None, maxima: dict[str, str] | None = None) -> DataFrame:
+    """`rows` with the count (from 1), sums, maxima and products of each row's group `by` up to and with that row.
 
-    by: a column or several, in which nulls are values; None: all rows are one group. sums: new name to long column (null: 0). products: new
-    name to Product; `<name>_before` is the product without the row. Rows that the order leaves equal stand in any order. The
+    by: a column or several, in which nulls are values; None: all rows are one group. sums: new name to long column (null: 0). maxima: new
+    name to double column (null: least). products: new name to Product; `<name>_before` is the product without the row. Rows that the order leaves equal stand in any order. The
     driver gets two rows for each range, of numbers and keys alone.
     """
-    sums, products = sums or {}, products or {}
+    sums, products, maxima = sums or {}, products or {}, maxima or {}
     by = [by] if isinstance(by, str) else list(by or ())
-    names = [*sums, *(x for p in products for x in (p, f"{p}_before"))]
+    names = [*sums, *maxima, *(x for p in products for x in (p, f"{p}_before"))]
     made = ["__first", count, *names]
-    schema = T.StructType([*rows.schema.fields, T.StructField("__first", T.BooleanType()), T.StructField(count, T.LongType()), *(T.StructField(x, T.LongType()) for x in names), T.StructField("__part", T.IntegerType()), T.StructField("__edge", T.IntegerType())])
+    if clash := {c.lower() for c in rows.columns} & {c.lower() for c in made}:
+        raise ValueError(f"columns that are there already: {', '.join(sorted(clash))}")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__first", T.BooleanType()), T.StructField(count, T.LongType()), *(T.StructField(x, T.DoubleType() if x in maxima else T.LongType()) for x in names), T.StructField("__part", T.IntegerType()), T.StructField("__edge", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, held, began = _Scan(list(sums.values()), list(products.values())), None, False
+        scan, held, began = _Scan(list(sums.values()), list(maxima.values()), list(products.values())), None, False
         part = TaskContext.get().partitionId()
 
         def finished(batch: pa.RecordBatch, columns: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
@@ -129,19 +140,20 @@ def running(rows: DataFrame, by: str | Sequence[str] | None, order: Sequence[Col
 
     keys = [*map(F.col, by), *order]
     found = durable(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(run), schema))
-    kept = [f"__{x}" for x in (count, *sums, *products)]
-    edges = found.where("__edge > 0").select("__part", "__edge", "__first", F.array(*(F.col(c).cast("string") for c in by)).alias("__by"), *(F.col(x).alias(f"__{x}") for x in (count, *sums, *products))).collect()
-    before = _before(edges, len(sums), list(products.values()), kept)
-    fields = ["__part int", *(f"{x} long" for x in kept), *(f"__{x}_scale long" for x in products)]
+    kept = [f"__{x}" for x in (count, *sums, *maxima, *products)]
+    edges = found.where("__edge > 0").select("__part", "__edge", "__first", F.array(*(F.col(c).cast("string") for c in by)).alias("__by"), *(F.col(x).alias(f"__{x}") for x in (count, *sums, *maxima, *products))).collect()
+    before = _before(edges, len(sums), len(maxima), list(products.values()), kept)
+    fields = ["__part int", *(f"{x} {'double' if x[2:] in maxima else 'long'}" for x in kept), *(f"__{x}_scale long" for x in products)]
     joined = found.join(F.broadcast(rows.sparkSession.createDataFrame(before, ", ".join(fields))), "__part", "left")
     added = F.col("__first") & F.col(kept[0]).isNotNull()
     out = [F.when(added, F.col(x) + F.col(f"__{x}")).otherwise(F.col(x)).alias(x) for x in (count, *sums)]
+    out += [F.greatest(F.col(x), F.when(added, F.col(f"__{x}"))).alias(x) for x in maxima]
     for x, p in products.items():
         out += [F.when(added, (F.col(f"__{x}") + F.col(f"__{x}_scale") * F.col(c)) % p.prime).otherwise(F.col(c)).alias(c) for c in (x, f"{x}_before")]
     return joined.select(*rows.columns, *out)
 
 
-def _before(edges: list, n_sums: int, products: list[Product], kept: list[str]) -> list[tuple]:
+def _before(edges: list, n_sums: int, n_maxima: int, products: list[Product], kept: list[str]) -> list[tuple]:
     """A row for each range whose first group began in an earlier one: the range, what that group had so far, and each product's
     factor for what follows."""
     out: list[tuple] = []
@@ -155,11 +167,21 @@ def _before(edges: list, n_sums: int, products: list[Product], kept: list[str])
             scales = [pow(p.base, carried[0], p.prime) for p in products]
             out.append((last["__part"], *carried, *scales))
             if last["__first"]:
-                own = [a + b for a, b in zip(carried[: 1 + n_sums], own[: 1 + n_sums], strict=True)] + [(a + s * b) % p.prime for a, b, s, p in zip(carried[1 + n_sums :], own[1 + n_sums :], scales, products, strict=True)]
+                sums, maxima = 1 + n_sums, 1 + n_sums + n_maxima
+                pairs = list(zip(carried, own, strict=True))
+                own = [a + b for a, b in pairs[:sums]] + [max(x) for x in pairs[sums:maxima]] + [(a + s * b) % p.prime for (a, b), s, p in zip(pairs[maxima:], scales, products, strict=True)]
         open_key, so_far = last["__by"], own
     return out
 
 
+def with_last(rows: DataFrame, by: str, order: Sequence[Column | str], columns: dict[str, str], count: str = "nth") -> DataFrame:
+    """`rows` with their count in their group, and of the row before it in the group each column under a new name (new: old); null for
+    the first. Rows meet under group and count, so that a group of very many rows is dealt out."""
+    rows = durable(running(rows, by, order, count))
+    before = rows.select(F.col(by).alias("__by"), (F.col(count) + 1).alias("__count"), *(F.col(old).alias(new) for new, old in columns.items()))
+    return rows.join(before, rows[by].eqNullSafe(before["__by"]) & (rows[count] == before["__count"]), "left").drop("__by", "__count")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, small: bool | None = None) -> DataFrame:
     """Rows with the columns of the one row of `table` that has the same key, null being a value. A table of at most SMALL_ROWS rows,
     which are counted, is broadcast; a larger one is joined by a shuffle, in which adaptive execution cuts a frequent key."""

@@ -208,6 +208,38 @@ def token_bucket_limit(spark, sf_dir):
     return limits.decided(events(spark, sf_dir), "user_id", lambda: limits.TokenBucket(3.0, 1 / 86400))
 
 
+@query(recursive("[t]::DOUBLE[] AS log, true AS allowed, 0.0::DOUBLE AS wait", """CASE WHEN len(list_filter(f.log, lambda x: x > o.t - 86400)) < 2 THEN list_append(list_filter(f.log, lambda x: x > o.t - 86400), o.t) ELSE list_filter(f.log, lambda x: x > o.t - 86400) END,
+ len(list_filter(f.log, lambda x: x > o.t - 86400)) < 2, CASE WHEN len(list_filter(f.log, lambda x: x > o.t - 86400)) < 2 THEN 0.0 ELSE greatest(0.0, list_filter(f.log, lambda x: x > o.t - 86400)[1] + 86400 - o.t) END""", "event_id, allowed, round(wait, 4) AS wait", "", "CAST(user_id AS VARCHAR) AS user_id"))
+def sliding_log_wait(spark, sf_dir):
+    return limits.refused_waits(events(spark, sf_dir), "user_id", 2, 86400.0).withColumn("wait", F.round("wait", 4))
+
+
+# A bucket's level and needs in microseconds of filling, of which a token takes 43200 seconds.
+_NEED, _DAY = "(1 + o.event_id % 2) * 43200000000", "129600000000"
+_LEVEL = f"least({_DAY}, f.level + greatest(0, (o.t * 1e6)::BIGINT - f.served))"
+_WAITED = f"greatest(0, {_NEED} - {_LEVEL})"
+
+
+@query(recursive("129600000000 - (1 + event_id % 2) * 43200000000 AS level, (t * 1e6)::BIGINT AS served, 0::BIGINT AS wait_micros", f"{_LEVEL} + {_WAITED} - {_NEED}, greatest((o.t * 1e6)::BIGINT, f.served) + {_WAITED}, greatest((o.t * 1e6)::BIGINT, f.served) + {_WAITED} - (o.t * 1e6)::BIGINT", "event_id, wait_micros", ""))
+def token_bucket_wait(spark, sf_dir):
+    """Requests of one or two tokens that wait at a bucket of three, which fills by two a day."""
+    tokens = 1 + F.col("event_id") % 2
+    return limits.bucket_waits(events(spark, sf_dir), "user_id", 3.0, 1 / 43200, tokens).select("user_id", "event_id", F.round(F.col("wait") * 1e6).cast("long").alias("wait_micros"))
+
+
+@query("SELECT a.event_id, count(*) AS n_active FROM events a JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) <= (a.ts, a.event_id) AND (b.event_id = a.event_id OR epoch_us(b.ts) + CAST(round(b.value * 1800000000) AS BIGINT) > epoch_us(a.ts)) GROUP BY a.event_id")
+def active_requests(spark, sf_dir):
+    """Each request runs for `value` half hours."""
+    return limits.concurrency(events(spark, sf_dir), "user_id", F.col("value") * 1800).select("event_id", "n_active")
+
+
+@query(recursive("[(t * 1e6)::BIGINT + took]::BIGINT[] AS ends, 0::BIGINT AS wait", """list_sort(list_append(CASE WHEN len(f.ends) < 2 THEN f.ends ELSE f.ends[2:] END, greatest((o.t * 1e6)::BIGINT, CASE WHEN len(f.ends) < 2 THEN 0 ELSE f.ends[1] END) + o.took)),
+ greatest(0, CASE WHEN len(f.ends) < 2 THEN 0 ELSE f.ends[1] - (o.t * 1e6)::BIGINT END)""", "event_id, round(wait / 1e6, 3) AS wait", "", "CAST(user_id AS VARCHAR) AS user_id").replace("AS s, row_number()", "AS s, CAST(round(value * 1800000000) AS BIGINT) AS took, row_number()"))
+def slot_wait(spark, sf_dir):
+    """Two slots for each user, held for `value` half hours."""
+    return limits.slot_waits(events(spark, sf_dir), "user_id", 2, F.col("value") * 1800).withColumn("wait", F.round("wait", 3))
+
+
 @query("SELECT user_id, count(*) AS connections, min(ts) AS oldest FROM events GROUP BY user_id")
 def connection_stats(spark, sf_dir):
     return A.connections(events(spark, sf_dir), "user_id")

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packetlens.operators import alerts as A
 from packetlens.operators import caching as C
 from packetlens.operators import edits as E
+from packetlens.operators import limits as L
 from packetlens.operators import ratios as R
 from packetlens.operators import scans
 
@@ -165,3 +167,52 @@ def test_text_accuracy(spark):
     assert got[3].char_accuracy == got[3].partial_accuracy == 1.0 and (got[4].char_accuracy, got[4].partial_accuracy, got[4].token_accuracy) == (0.0, 1.0, 0.0)
     assert got[5].partial_accuracy == 0.86 and got[6].token_accuracy == 0.0 and got[6].char_accuracy == 0.5 and got[7].char_accuracy == 1.0
     assert R.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 1.0 and R.token_set_ratio("a b", "c d") == 2 / 6
+
+
+def test_counters_that_start_again(spark):
+    samples = [("a", 10 * i, v) for i, v in enumerate([0, 10, 20, 5, 15, 25])] + [("b", 0, 7), (None, 3, 1), (None, 13, 2)]
+    df = spark.createDataFrame(samples, "k string, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.k, r.s): (r.n, r.rate) for r in A.counter_rates(df, "k", "ts", "v", 30, 10).withColumn("s", F.unix_timestamp("at")).collect()}
+    assert got["a", 30] == (3, pytest.approx((10 + 5) * 1.5 / 30)) and got["a", 50][1] == pytest.approx((10 + 10) * 1.25 / 30)  # 5 at 30 s; no more than to zero before it
+    assert not [k for k in got if k[0] == "b"] and (None, 20) in got  # one sample has no rate; null is a series
+    with pytest.raises(ValueError):
+        A.counter_rates(df, "k", "ts", "v", 30, 20)
+
+
+def test_alerts_fire_once_they_have_held(spark):
+    breaches = [("a", i) for i in (1, 2, 3, 7, 8, 20)] + [("b", i) for i in range(100)]
+    df = spark.createDataFrame(breaches, "k string, i long").select("k", F.timestamp_seconds(F.col("i") * 30).alias("at"), F.col("i").cast("double").alias("rate"))
+    rows = A.alert_intervals(df, "k", F.col("rate") > 0.5, 60, 30)
+    sec = lambda x: None if x is None else int(x.timestamp())
+    got = sorted((r.k, sec(r.started), sec(r.firing_from), sec(r.ended), r.evaluations, r.peak) for r in rows.collect())
+    assert got == [("a", 30, 90, 120, 3, 3.0), ("a", 210, None, 270, 2, 8.0), ("a", 600, None, 630, 1, 20.0), ("b", 30, 90, 3000, 99, 99.0)]
+    assert A.alert_intervals(df.limit(0), "k", F.col("rate") > 0, 60, 30).count() == 0
+
+
+def test_waits_against_a_plain_run(spark):
+    rng = np.random.default_rng(9)
+    log = [(i, "ab"[int(rng.integers(0, 2))], int(t), int(rng.integers(1, 5))) for i, t in enumerate(np.cumsum(rng.integers(0, 4, 300)))]
+    df = spark.createDataFrame(log, "event_id long, k string, s long, need long").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+    got = {r.event_id: r.wait for r in L.bucket_waits(df, "k", 3.0, 0.5, F.col("need")).collect()}
+    active = {r.event_id: r.n_active for r in L.concurrency(df, "k", F.col("need") * 2).collect()}
+    slots = {r.event_id: r.wait for r in L.slot_waits(df, "k", 2, F.col("need")).collect()}
+    refused = {r.event_id: (r.allowed, r.wait) for r in L.refused_waits(df, "k", 3, 5.0).collect()}
+    state = {k: [3.0, 0.0] for k in "ab"}
+    free, kept = {k: [0.0, 0.0] for k in "ab"}, {k: [] for k in "ab"}
+    for i, k, t, need in log:
+        assert active[i] == sum(1 for j, q, s, n in log if q == k and j <= i and (j == i or s + 2 * n > t))
+        first = min(free[k])
+        assert slots[i] == pytest.approx(max(0.0, first - t))
+        free[k][free[k].index(first)] = max(t, first) + need
+        kept[k] = [x for x in kept[k] if x > t - 5]
+        assert refused[i] == ((True, 0.0) if len(kept[k]) < 3 else (False, pytest.approx(kept[k][0] + 5 - t)))
+        kept[k] += [t] * (len(kept[k]) < 3)
+        if need > 3:
+            assert got[i] is None
+            continue
+        tokens, at = state[k]
+        start = max(at, t)
+        tokens = min(3.0, tokens + (start - at) * 0.5)
+        wait = max(0.0, (need - tokens) / 0.5)
+        assert got[i] == pytest.approx(start + wait - t, abs=1e-6)
+        state[k] = [tokens + wait * 0.5 - need, start + wait]
