@@ -12,7 +12,7 @@ from .registry import query
 
 @query("WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w")
 def stream_rates(spark, sf_dir):
-    rows = S.drained(S.rates(S.stream(spark, sf_dir)), "complete")
+    rows = S.drained(S.rates, S.stream(spark, sf_dir))
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -21,10 +21,20 @@ g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 MINUTE
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTES AS ended, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, burst""")
 def stream_sessions(spark, sf_dir):
     """All bursts, those still open when the input ends as well."""
-    rows = S.drained(S.sessions(S.stream(spark, sf_dir)), "complete")
+    rows = S.drained(S.sessions, S.stream(spark, sf_dir))
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}).withColumn("total", F.round("total", 6))
 
 
 @query(bucket_sql("user_id"))
 def stream_token_bucket(spark, sf_dir):
-    return S.drained(S.bucket_decisions(S.stream(spark, sf_dir)))
+    return S.drained(S.bucket_decisions, S.stream(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT user_id, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT user_id, max(ts) AS last_heartbeat, max(ts) + INTERVAL 12 HOURS AS lost_at, count(*) AS beats FROM g GROUP BY user_id, run""")
+def stream_lost_connections(spark, sf_dir):
+    """Users whose events stopped for twelve hours."""
+    rows = S.drained(lambda r: S.lost_connections(r, seconds=12 * 3600.0), S.stream(spark, sf_dir))
+    at = F.timestamp_micros("last_micros")
+    return rows.select("user_id", at.cast("timestamp_ntz").alias("last_heartbeat"), (at + F.expr("INTERVAL 12 HOURS")).cast("timestamp_ntz").alias("lost_at"), "beats")

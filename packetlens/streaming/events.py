@@ -1,57 +1,178 @@
-"""Streaming twins of the event operators: windows with watermarks, and keyed state in order of time."""
+"""Streaming twins of the event operators: windows with watermarks, and keyed state that timers clear.
+
+All results are final rows: a window, a decision or a lost connection is emitted once, when the watermark has passed it, and its state
+goes with it. What is open when the input ends is closed by marker rows far ahead of all times (`drained`).
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetlens.runtime import shared_dir
 
+#: Where timers and their state are kept.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Times after all others: the first closes what is open, the second ends what waits for a timer that the first has set.
+ENDS = ("2999-01-01 00:00:00", "2999-12-31 00:00:00")
+SPAN = 3_600_000
+
 
-def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a file stream; ts is a timestamp."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema)
+def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events below a folder, or in the parts of one table, as a file stream; ts is a timestamp."""
+    found = f"{path}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(found).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(f"{found}*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Rows with a watermark, without the marker at the end, which moves it as well: a condition on another column would be tested before."""
+    return rows.withWatermark("ts", late).where(F.col("ts") < F.lit(ENDS[0]).cast("timestamp"))
 
 
 def rates(rows: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events a second by window and type; windows are final once the watermark has passed."""
-    return rows.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+    """Events by window and type, once the watermark has passed the window."""
+    return _timed(rows, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
 def sessions(rows: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Bursts of a key that end after the gap: liveness, and counters whose expiry every hit renews."""
-    return rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "total")
+    """Bursts of a key that end after the gap: counters whose expiry every hit renews."""
+    return _timed(rows, late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "total")
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key (micros, event_id) in order of time, whatever the order in which they come: they are kept by spans of time, in milliseconds,
+    and a span is handed to `take` once the watermark has passed it, so a task holds one span of one key."""
+
+    def __init__(self, span: int = SPAN):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            own = pdf[["micros", "event_id"]].to_numpy(np.int64)
+            at = own[:, 0] // (self.span * 1000)
+            for span in np.unique(at).tolist():
+                known = self.waiting.containsKey((span,))
+                before = bytes(self.waiting.getValue((span,))[0]) if known else b""
+                self.waiting.updateValue((span,), (before + own[at == span].tobytes(),))
+                if not known:
+                    self.handle.registerTimer((span + 1) * self.span)
+        yield from ()
 
-def bucket_decisions(rows: DataFrame, key: str = "user_id", capacity: float = 3.0, rate: float = 1 / 86400) -> DataFrame:
-    """(key, event_id, allowed) by a token bucket for each key, kept across batches. Rows of a batch are taken in order of
-    time; one that comes after a later batch counts at the bucket's last time."""
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        span = expiredTimerInfo.getExpiryTimeInMs() // self.span - 1
+        if self.waiting.containsKey((span,)):
+            own = np.frombuffer(bytes(self.waiting.getValue((span,))[0]), np.int64).reshape(-1, 2)
+            self.waiting.removeKey((span,))
+            yield self.take(key, own[np.lexsort((own[:, 1], own[:, 0]))])
 
-    def step(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
-        pdf = pd.concat(list(parts)).sort_values(["micros", "event_id"])
+    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Bucket(InOrder):
+    """A token bucket for each key; one that is full again is as good as new, so its state goes after that time."""
+
+    def __init__(self, key: str, capacity: float, rate: float, span: int = SPAN):
+        super().__init__(span)
+        self.key, self.capacity, self.rate = key, capacity, rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.bucket = handle.getValueState("bucket", "tokens double, last double")
+
+    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
         out = []
-        for t in pdf["micros"] / 1e6:
+        for t in rows[:, 0] / 1e6:
             if last is not None:
-                tokens = min(capacity, tokens + max(0.0, t - last) * rate)
-            last = t if last is None else max(last, t)
+                tokens = min(self.capacity, tokens + (t - last) * self.rate)
+            last = t
             out.append(tokens >= 1)
             tokens -= tokens >= 1
-        state.update((float(tokens), float(last)))
-        yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"].to_numpy(), "allowed": out})
-
-    rows = rows.select(key, "event_id", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+        self.bucket.update((float(tokens), float(last)))
+        # The span's end by which the bucket is full, and a new one the same; the timer that finds no newer rows clears it.
+        full = last + (self.capacity - tokens) / self.rate
+        self.handle.registerTimer((int(full * 1000) // self.span + 2) * self.span)
+        return pd.DataFrame({self.key: key[0], "event_id": rows[:, 1], "allowed": out})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        if self.bucket.exists():
+            tokens, last = self.bucket.get()
+            if last + (self.capacity - tokens) / self.rate <= expiredTimerInfo.getExpiryTimeInMs() / 1000 - self.span / 1000:
+                self.bucket.clear()
+
+
+class Heartbeats(InOrder):
+    """Connections that had no heartbeat for a while: lost at their last one and that while."""
+
+    def __init__(self, key: str, seconds: float, span: int = SPAN):
+        super().__init__(span)
+        self.key, self.wait = key, int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "micros long, beats long")
+
+    def _lost(self, key: tuple, rows: list[tuple[int, int]]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["last_micros", "beats"]).astype("int64")
+        out.insert(0, self.key, key[0])
+        return out
+
+    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        last, beats = self.last.get() if self.last.exists() else (None, 0)
+        lost = []
+        for t in rows[:, 0].tolist():
+            if last is not None and t - last > self.wait:
+                lost.append((last, beats))
+                beats = 0
+            last, beats = t, beats + 1
+        self.last.update((last, beats))
+        self.handle.registerTimer(((last + self.wait) // (self.span * 1000) + 2) * self.span)
+        return self._lost(key, lost)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        if self.last.exists():
+            last, beats = self.last.get()
+            # All spans that begin before the wait is over have been taken.
+            if last + self.wait < expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.span * 1000:
+                self.last.clear()
+                yield self._lost(key, [(last, beats)])
+
+
+def _kept(rows: DataFrame, key: str, late: str, processor: InOrder, schema: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    timed = _timed(rows, late).select(key, "event_id", "ts", F.unix_micros("ts").alias("micros"))
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def bucket_decisions(rows: DataFrame, key: str = "user_id", capacity: float = 3.0, rate: float = 1 / 86400, late: str = "10 minutes", span: int = SPAN) -> DataFrame:
+    """(key, event_id, allowed) by a token bucket for each key, in order of time and event_id. Rows later than the watermark are dropped."""
+    return _kept(rows, key, late, Bucket(key, capacity, rate, span), f"{key} long, event_id long, allowed boolean")
+
+
+def lost_connections(rows: DataFrame, key: str = "user_id", seconds: float = 90.0, late: str = "10 minutes", span: int = SPAN) -> DataFrame:
+    """(key, last_micros, beats) for each time that a key was silent for more than `seconds` after a heartbeat: the last heartbeat and how many there
+    were since the time before."""
+    return _kept(rows, key, late, Heartbeats(key, seconds, span), f"{key} long, last_micros long, beats long")
 
 
 def upsert_into(path: str, key: str, at: str):
@@ -75,22 +196,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, and read the rows it gave. Each batch writes a folder of its own, so one that is repeated
-    changes nothing. append: the rows of all batches, which with a watermark lack windows that are still open; complete: the
-    last batch's rows, which are all windows there are."""
+def drained(make: Callable[[DataFrame], DataFrame], rows: DataFrame, progress: list | None = None) -> DataFrame:
+    """Run `make` over the stream `rows` as far as it goes, then over marker rows that close what is open, and read the rows it gave. Each batch
+    writes a folder of its own, so one that is repeated changes nothing. progress: gets what the batches tell."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
-    done: list[int] = []
+    marker = spark.range(1).select(*(F.lit(ENDS[0] if c == "ts" else None).cast(kind).alias(c) for c, kind in rows.dtypes))
+    marker.limit(0).write.parquet(f"{folder}-end")
+    ends = spark.readStream.schema(marker.schema).parquet(f"{folder}-end")
+    out = make(rows.unionByName(ends))
+    done: set[int] = set()
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        done.append(number)
+        done.add(number)
 
-    query = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+    for end in (None, *ENDS):
+        if end:
+            marker.withColumn("ts", F.lit(end).cast("timestamp")).write.mode("append").parquet(f"{folder}-end")
+        query = out.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+            if progress is not None:
+                progress += query.recentProgress
+        finally:
+            query.stop()
     if not done:
-        return spark.createDataFrame([], rows.schema)
-    return spark.read.schema(rows.schema).parquet(*(f"{folder}/batch={n}" for n in ([max(done)] if mode == "complete" else sorted(set(done)))))
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(*(f"{folder}/batch={n}" for n in sorted(done)))
