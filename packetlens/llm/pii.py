@@ -3,12 +3,14 @@
 Fixed patterns with checks find the base spans. Generators of high recall propose further spans, overlapping ones too: tokens
 with an @, addresses with a spelled @ or dot, numbers with and without blanks, four numbers with any kind of dots. Each proposal
 has features of its format and of the text around it, all of a few values. Boosted trees score it for each kind; proposals
-over the kind's calibrated threshold are added, of two that overlap the one with the better score.
+over the kind's calibrated threshold are added; of those that overlap, the ones that are kept are apart from each other and
+have the largest scores together.
 
 No text says what is personal data, so the labels are made: the base spans of all documents, written in other ways that the
 base patterns miss (without the plus, with other separators, with a spelled @), in their own surroundings, are of the kind;
 proposals of the texts themselves that meet no base span are not, nor are base spans that were spoiled (a wrong check digit,
-a part over 255, digits grouped like an order, a date or an ISBN). What defines a base span is thus never what the trees can go by. Training
+a part over 255, digits grouped like an order, a date or an ISBN), or written as ordinary forms of the same look: lists by commas,
+amounts, versions, sections, ratios, times, words before a spelled address, and numbers with more list items or a unit beside them. What defines a base span is thus never what the trees can go by. Training
 sees counts by feature combination over all documents; what comes to the driver is one row for each combination that
 occurs, of a fixed number that can. Each half of the documents calibrates the trees that the other half gave; the two
 scores' mean is the score. The trees are then one expression.
@@ -37,15 +39,20 @@ IP_PARTS = rf"^(?:{PART}|0+)(?:\.(?:{PART}|0+)){{3}}$"
 #: Of a generator, the kinds that it proposes, its pattern, and what a text must match for it to be tried.
 GENERATORS: dict[str, tuple[tuple[str, ...], str, str]] = {
     "token": (("email",), r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D@]++", "@"),
-    "spelled": (("email",), r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[({<]?\x20?(?:@|at)\x20?[\])}>]?\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]?\x20?(?:\.|dot)\x20?[\])}>]?\x20?[A-Za-z0-9-]++)++", r"(?i)@|[\x20\[({<]at\x20?[\])}>]?\x20?[a-z0-9-]++\x20?[\[({<]?\x20?(?:\.|dot)"),
+    "spelled": (("email",), r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20dot\x20[A-Za-z0-9._%+-]++)*+\x20?[\[({<]?\x20?(?:@|at)\x20?[\])}>]?\x20?[A-Za-z0-9-]++(?:\x20?[\[({<]?\x20?(?:\.|dot)\x20?[\])}>]?\x20?[A-Za-z0-9-]++)++", r"(?i)@|[\x20\[({<]at\x20?[\])}>]?\x20?[a-z0-9-]++\x20?[\[({<]?\x20?(?:\.|dot)"),
     "number": (("card", "phone"), r"[+(]?[0-9](?:[\x20().,:/_-]{0,2}+[0-9])++", "[0-9]"),
     "tight": (("card", "phone"), r"[+(]?[0-9](?:[().,:/_-]{0,2}+[0-9])++", "[0-9]"),
-    "quad": (("ip",), r"(?i)(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?(?:[.,]|dot)[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])", "[0-9]"),
+    "quad": (("ip",), r"(?i)(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?(?:[.,_-]|dot)[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])", "[0-9]"),
 }
 #: Digits that a number needs to be proposed at all.
 LEAST_DIGITS = 7
 CUES = r"(?i)(tel|phone|call|fon|mobil|fax|mail|contact|kontakt|host|addr|card|visa|konto|iban)"
 BLOCK = 512
+#: What stands after or before a number that counts or is an item of a list, and characters of a match's surroundings.
+UNITS = r"(?i)^\x20?(?:[%‰€$£°]|(?:eur|usd|euros?|dollars?|percent|prozent|kg|km|cm|mm|[mg]b|ms|min|pages?|pieces?|items?|times|rows|votes|points|people)\b)"
+LISTED_AFTER, LISTED_BEFORE = r"^\x20?[,;:/=]?\x20?[0-9]", r"[0-9]\x20?[,;:/=]?\x20?$"
+COUNTED_BEFORE = r"(?i)(?:[$€£#§]|\b(?:eur|usd|no|nr|num|version|release|section|chapter|page|pages|kapitel|seite|ratio|score|isbn|order|id))[.:]?\x20?v?$"
+BEFORE, AFTER = 24, 16
 
 #: Trees: rounds, shrinkage, smoothing of leaves; the share of proposals over a threshold that must be of the kind (a lower bound, as
 #: found ones that are personal data after all count against it); and the number of
@@ -97,7 +104,7 @@ def working(rows: DataFrame) -> str:
 
 def with_matches(rows: DataFrame, patterns: dict[str, tuple[str, str]], text: str) -> DataFrame:
     """For each (pattern, what a text must match) a column of array<struct<start, end, found, before, after>>: code points of each leftmost
-    match from the end of the last on, end exclusive; up to 24 characters before it and one after it, short of the neighbouring match."""
+    match from the end of the last on, end exclusive; up to BEFORE characters before it and AFTER after it, short of the neighbouring match."""
     names = list(patterns)
     if not names:
         return rows
@@ -109,7 +116,7 @@ def with_matches(rows: DataFrame, patterns: dict[str, tuple[str, str]], text: st
 
     def spans(n: str) -> Column:
         zipped, piece = F.arrays_zip(F.col(f"{own}e_{n}").alias("e"), F.col(f"{own}m_{n}").alias("m")), F.col(f"{own}p_{n}")
-        return F.transform(zipped, lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("found"), F.substring(piece[i], -24, 24).alias("before"), F.substring(piece[i + 1], 1, 1).alias("after")))
+        return F.transform(zipped, lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("found"), F.substring(piece[i], -BEFORE, BEFORE).alias("before"), F.substring(piece[i + 1], 1, AFTER).alias("after")))
 
     return rows.withColumns({n: spans(n) for n in names}).drop(*(f"{own}{k}_{n}" for n in names for k in "mpe"))
 
@@ -162,12 +169,14 @@ def _grouped(number: Column, by: str) -> Column:
 
 
 def variants(kind: str, found: Column) -> list[Column]:
+    """A base span in forms that its pattern misses. Commas join no address: four numbers with commas are a list."""
     if kind == "email":
         local, host = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
-        dotted = lambda by: F.replace(host, F.lit("."), F.lit(by))
-        return [F.concat(local, F.lit(at), h) for at, h in ((" @ ", host), ("[at]", host), (" (at) ", host), (" [at] ", dotted(" [dot] ")), (" at ", dotted(" dot ")))]
+        dotted = lambda x, by: F.replace(x, F.lit("."), F.lit(by))
+        pairs = ((local, " @ ", host), (local, "[at]", host), (local, " (at) ", host), (local, " [at] ", dotted(host, " [dot] ")), (local, " at ", dotted(host, " dot ")), (dotted(local, " dot "), " at ", dotted(host, " dot ")))
+        return [F.concat(a, F.lit(at), h) for a, at, h in pairs]
     if kind == "ip":
-        return [F.replace(found, F.lit("."), F.lit(by)) for by in (" . ", "[.]", ",", " dot ")]
+        return [F.replace(found, F.lit("."), F.lit(by)) for by in (" . ", "[.]", "(.)", " dot ")]
     if kind == "card":
         return [_grouped(digits(found), by) for by in (".", "/", "  ", "_")]
     bare = F.substring(found, 2, 1 << 20)
@@ -175,23 +184,43 @@ def variants(kind: str, found: Column) -> list[Column]:
     return [bare, F.regexp_replace(found, r"^\+[0-9]{1,3}[\x20.-]+", ""), spaced("."), spaced("/"), F.concat(F.lit("00"), spaced(" "))]
 
 
-def spoiled(kind: str, found: Column) -> list[Column]:
+def spoiled(kind: str, x: Column) -> list[tuple[Column, Column, Column]]:
+    """A base span turned into what is none: (found, before, after)."""
+    found, before, after = x["found"], x["before"], x["after"]
+    own = lambda *texts: [(t, before, after) for t in texts]
     if kind == "email":
-        local, host = F.substring_index(found, "@", 1), F.substring_index(F.substring_index(found, "@", -1), ".", 1)
-        return [F.concat(local, F.lit(at), host) for at in ("@", " @ ")] + [F.concat(local, F.lit(" at "), host, F.lit(". "), F.initcap(host))]
+        local, host = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
+        name = F.substring_index(host, ".", 1)
+        spelled = F.replace(host, F.lit("."), F.lit(" dot "))
+        # Ordinary words, the text's own before the span and common ones, that an address follows.
+        word = F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1)
+        words = [F.when(word != "", word).otherwise("look"), *map(F.lit, ("look", "see", "us", "visit", "meet"))]
+        return own(*(F.concat(local, F.lit(at), name) for at in ("@", " @ ")), F.concat(local, F.lit(" at "), name, F.lit(". "), F.initcap(name)), *(F.concat(w, F.lit(" at "), h) for w in words for h in (spelled, host)))
     if kind == "ip":
-        return [F.replace(F.regexp_replace(found, "^[0-9]+", "999"), F.lit("."), F.lit(by)) for by in (" . ", "[.]", ",", " dot ")]
+        parts = F.split(found, r"\.")
+        cut = lambda n: F.transform(parts, lambda g: F.substring(g, 1, n))
+        lists = [(F.concat_ws(by, own_parts), before, after) for own_parts in (parts, cut(1), cut(2)) for by in (",", ", ", " , ", "-", "_")]
+        short = [(F.concat_ws(by, cut(n)), before, after) for n in (1, 2) for by in (" . ", "[.]", "(.)", " dot ", ".")]
+        longer = [(F.concat_ws(by, parts), F.concat(before, F.lit(b)), F.lit(a)) for by in (" . ", ", ", ".") for b, a in (("", by + "7"), ("12" + by, ""))]
+        over = own(*(F.replace(F.regexp_replace(found, "^[0-9]+", "999"), F.lit("."), F.lit(by)) for by in (" . ", "[.]", "(.)", ",", " dot ")))
+        return [*lists, *short, *longer, *over]
     number = digits(found)
     at = lambda i, n: F.substring(number, i, n)
+    beside = lambda t: [(t, F.concat(before, F.lit(b)), F.lit(a)) for b, a in (("12, ", ", 7 and"), ("", " euros"), ("$ ", ""))]
     if kind == "card":
         other = F.concat(F.regexp_replace(number, "[0-9]$", ""), ((F.substring(number, -1, 1).cast("int") + 1) % 10).cast("string"))
         unlike = ((r"^(.{3})(.{7})(.*)$", "$1-$2-$3"), (r"^(.{4})(.{2})(.{2})(.{2})(.{2})(.*)$", "$1-$2-$3 $4:$5:$6"), (r"^(.{3})(.)(.{3})(.{5})(.*)$", "$1-$2-$3-$4-$5"))
-        return [other, *(_grouped(other, by) for by in (".", "/", "  ", "_")), *(F.regexp_replace(number, a, b) for a, b in unlike)]
+        amounts = [F.regexp_replace(t, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", by) for t in (number,) for by in (",", ".", " ")]
+        lists = [_grouped(number, by) for by in (", ", ",", "; ")]
+        return [*own(other, *lists, *(_grouped(other, by) for by in (".", "/", "  ", "_")), *(F.regexp_replace(number, a, b) for a, b in unlike), *amounts), *beside(number)]
     year, month, day = (F.concat(F.lit(x), at(i, n)) for x, i, n in (("20", 1, 2), ("0", 3, 1), ("1", 4, 1)))
     dates = [F.concat_ws(by, *parts) for by, parts in (("-", (year, month, day)), (".", (day, month, year)), ("/", (day, month, year)))]
+    spans = [F.concat(dates[i], F.lit(by), dates[i]) for i, by in ((0, "/"), (1, "-"))] + [F.concat(year, F.lit("-"), year)]
     clock = F.concat(dates[0], F.lit(" 1"), at(5, 1), F.lit(":2"), at(6, 1))
     book = F.concat(F.lit("978-"), at(1, 1), F.lit("-"), at(2, 3), F.lit("-"), at(5, 5), F.lit("-"), at(1, 1))
-    return [number, at(1, 8), *dates, clock, book, F.concat(at(1, 3), F.lit("."), at(4, 9))]
+    lists = [F.concat_ws(by, at(1, 1), at(2, 1), at(3, 2), at(5, 2), at(7, 2)) for by in (", ", ",", "/", " ", ".", "-")] + [F.concat_ws(by, at(1, 2), at(3, 3), at(6, 3), at(1, 3)) for by in (", ", ",", " ", ".")]
+    amounts = [F.regexp_replace(t, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", by) for t in (number, at(1, 9), at(1, 7)) for by in (",", ".", " ")]
+    return [*own(number, at(1, 8), at(1, 9), at(1, 10), *dates, *spans, clock, book, F.concat(at(1, 3), F.lit("."), at(4, 9)), *lists, *amounts), *beside(F.regexp_replace(F.substring(found, 2, 1 << 20), r"[\x20().-]+", " "))]
 
 
 # Features of a proposal: name -> (column, number of values). Values are 0.. .
@@ -220,26 +249,27 @@ def _first_of(*cases: Column) -> Column:
 def features(kind: str, x: Column) -> dict[str, tuple[Column, int]]:
     found = x["found"]
     joins = r"[\p{L}0-9]"
-    around = {"joined_before": (_flag(F.substring(x["before"], -1, 1).rlike(joins)), 2), "joined_after": (_flag(x["after"].rlike(joins)), 2), "cue": (_flag(x["before"].rlike(CUES)), 2)}
+    around = {"joined_before": (_flag(F.substring(x["before"], -1, 1).rlike(joins)), 2), "joined_after": (_flag(F.substring(x["after"], 1, 1).rlike(joins)), 2), "cue": (_flag(x["before"].rlike(CUES)), 2)}
     if kind == "email":
         local = F.regexp_extract(found, r"^([^@\x20\[({<]*)", 1)
         return around | {
             "at": (_first_of(found.rlike(r"[^\x20]@[^\x20]"), F.contains(found, F.lit("@")), found.rlike(r"(?i)[\[({<]\x20?at"), found.rlike(r"(?i)\x20at\x20")), 5),
             "dot": (_first_of(found.rlike(r"(?i)[\[({<]\x20?dot"), found.rlike(r"(?i)\x20dot\x20"), found.rlike(r"\.\x20"), found.rlike(r"(?:@|at[\])}>]?)[^.]*\.[^.]")), 5),
             "top": (_steps(F.length(F.regexp_extract(found, r"[^A-Za-z]([A-Za-z]+)[^A-Za-z0-9]*$", 1)), 1, 2, 4, 7), 5),
-            "local": (_steps(F.length(local), 1, 3), 3), "local_digit": (_flag(local.rlike("[0-9._]")), 2), "capital_end": (_flag(found.rlike(r"[^A-Za-z][A-Z][a-z]*$")), 2),
+            "spelled_local": (_flag(found.rlike(r"(?i)^[^@]*\x20dot\x20.*\x20at\x20")), 2), "local": (_steps(F.length(local), 1, 3), 3), "local_digit": (_flag(local.rlike("[0-9._]")), 2), "capital_end": (_flag(found.rlike(r"[^A-Za-z][A-Z][a-z]*$")), 2),
         }
     number, groups = digits(found), F.filter(F.split(found, r"[^0-9]+", -1), lambda g: g != "")
     most = F.array_max(F.transform(groups, lambda g: F.length(g)))
+    around |= {"unit": (_flag(x["after"].rlike(UNITS)), 2), "listed": (_flag(x["after"].rlike(LISTED_AFTER)) + 2 * _flag(x["before"].rlike(LISTED_BEFORE)), 4), "counted": (_flag(x["before"].rlike(COUNTED_BEFORE)), 2)}
     if kind == "ip":
         return around | {
-            "big": (_flag(F.exists(groups, lambda g: g.cast("int") > 255)), 2), "longest": (_steps(most, 2, 3), 3), "bracketed": (_flag(found.rlike(r"[\[({]")), 2), "spelled": (_flag(found.rlike("(?i)dot")), 2),
+            "size": (_steps(F.length(number), 5, 7, 9), 4), "dashed": (_flag(found.rlike("[-_]")), 2), "dotted": (_flag(F.contains(found, F.lit("."))), 2), "big": (_flag(F.exists(groups, lambda g: g.cast("int") > 255)), 2), "longest": (_steps(most, 2, 3), 3), "bracketed": (_flag(found.rlike(r"[\[({]")), 2), "spelled": (_flag(found.rlike("(?i)dot")), 2),
             "comma": (_flag(F.contains(found, F.lit(","))), 2), "spaces": (_steps(F.length(F.regexp_replace(found, "[^ ]", "")), 1, 4, 6), 4), "zero": (_flag(found.rlike(r"^0|[^0-9]0[0-9]")), 2),
         }
     return around | {
         "digits": (_steps(F.length(number), 9, 10, 11, 12, 14, 16, 17, 20), 9), "groups": (_steps(F.size(groups), 2, 3, 4, 5, 6), 6), "longest": (_steps(most, 4, 5, 7, 9, 12), 6),
         "plus": (_flag(found.startswith("+")), 2), "zeros": (_flag(found.startswith("00")), 2), "paren": (_flag(F.contains(found, F.lit("("))), 2), "slashed": (_flag(found.rlike("[/_.]")), 2),
-        "clock": (_flag(found.rlike("[:,]")), 2), "quad": (_flag(found.rlike(r"^[0-9]{1,3}(?:[.,][0-9]{1,3}){3}$")), 2), "luhn": (_flag(F.when(F.length(number).between(12, 19), luhn(number))), 2),
+        "clock": (_flag(found.rlike("[:,]")), 2), "thousands": (_flag(found.rlike(r"^[0-9]{1,3}(?:([., ])[0-9]{3})(?:\1[0-9]{3})*$")), 2), "dated": (_flag(found.rlike(r"(?:19|20)[0-9]{2}")), 2), "shortest": (_steps(F.array_min(F.transform(groups, lambda g: F.length(g))), 2, 3, 4), 4), "quad": (_flag(found.rlike(r"^[0-9]{1,3}(?:[.,][0-9]{1,3}){3}$")), 2), "luhn": (_flag(F.when(F.length(number).between(12, 19), luhn(number))), 2),
     }
 
 
@@ -260,16 +290,28 @@ def with_proposals(rows: DataFrame, kinds: tuple[str, ...], text: str, own: str)
     return with_matches(rows, {f"{own}{g}": x for g, x in live.items()}, text)
 
 
-def counts(rows: DataFrame, kind: str) -> DataFrame:
-    """(fold, features.., n, positive) over made and found examples in (text, fold) rows."""
+def counts(rows: DataFrame) -> DataFrame:
+    """(fold, kind, values, n, positive) over made and found examples of all kinds in (text, fold) rows; values: of the kind's features,
+    in order."""
     own = "pii_"
-    rows = with_proposals(with_base(rows, "text", own, (kind,)), (kind,), "text", own)
-    example = lambda x, found, y: F.struct(found.alias("found"), x["before"].alias("before"), x["after"].alias("after"), F.lit(y).alias("y"))
-    made = F.flatten(F.transform(f"{own}{kind}", lambda x: F.array(*(example(x, v, y) for w, y in ((variants, 1), (spoiled, 0)) for v in w(kind, x["found"])))))
-    met = F.transform(proposed(kind, own), lambda x: example(x, x["found"], 0))
-    rows = rows.select("fold", F.explode(F.concat(made, met)).alias("x"))
-    of = features(kind, F.col("x"))
-    return rows.select("fold", *(c.alias(f) for f, (c, _) in of.items()), F.col("x.y").alias("y")).groupBy("fold", *of).agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
+    rows = with_proposals(with_base(rows, "text", own), KINDS, "text", own)
+
+    def examples(kind: str) -> Column:
+        def one(found: Column, before: Column, after: Column, y: int) -> Column:
+            return F.struct(found.alias("found"), before.alias("before"), after.alias("after"), F.lit(y).alias("y"))
+
+        made = F.flatten(F.transform(f"{own}{kind}", lambda x: F.array(*(one(v, x["before"], x["after"], 1) for v in variants(kind, x["found"])), *(one(*v, 0) for v in spoiled(kind, x)))))
+        met = F.transform(proposed(kind, own), lambda x: one(x["found"], x["before"], x["after"], 0))
+        return F.concat(made, met)
+
+    out = None
+    for kind in KINDS:
+        # A kind at a time is exploded, so that only its own examples are beside a text.
+        own_rows = rows.select("fold", F.explode(examples(kind)).alias("x"))
+        values = F.array(*(c.cast("int") for c, _ in features(kind, F.col("x")).values()))
+        own_rows = own_rows.select("fold", F.lit(KINDS.index(kind)).alias("kind"), values.alias("values"), F.col("x.y").alias("y"))
+        out = own_rows if out is None else out.unionByName(own_rows)
+    return out.groupBy("fold", "kind", "values").agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
 
 
 Tree = tuple[str, int, tuple[str, int, float, float], tuple[str, int, float, float]]
@@ -361,39 +403,64 @@ def sizes_of(kind: str) -> dict[str, int]:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Boosted]:
     """A model for each kind, from all documents; documents of one id are in one half."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 2).cast("int").alias("fold"))
+    found = counts(rows).collect()
     models = {}
-    for kind in KINDS:
+    for i, kind in enumerate(KINDS):
         sizes = sizes_of(kind)
-        found = [r.asDict() for r in counts(rows, kind).collect()]
-        models[kind] = Boosted.fit(sorted(found, key=lambda r: [r[f] for f in ("fold", *sizes)]), sizes)
+        own = [{"fold": r.fold, "n": r.n, "positive": r.positive, **dict(zip(sizes, r["values"], strict=True))} for r in found if r.kind == i]
+        models[kind] = Boosted.fit(sorted(own, key=lambda r: [r[f] for f in ("fold", *sizes)]), sizes)
     return models
 
 
 def with_added(rows: DataFrame, kind: str, model: Boosted, own: str) -> DataFrame:
-    """Adds {own}added_{kind}, array<struct<start, kind, end, margin>> of the proposals over the threshold, without marks at their ends."""
+    """Adds {own}added_{kind}, array<struct<start, kind, end, weight>> of the proposals over the threshold, without marks at their ends; weight: how
+    far over it they are, and a little."""
     head = lambda x: F.length(F.regexp_extract(x["found"], r"^[^\p{L}\p{N}+(]*", 0))
     tail = lambda x: F.length(F.regexp_extract(x["found"], r"[^\p{L}\p{N}]*$", 0))
     of = lambda x: F.struct((x["start"] + head(x)).alias("start"), (x["end"] - tail(x)).alias("end"), *(c.alias(f) for f, (c, _) in features(kind, x).items()))
     rows = rows.withColumn(f"{own}of", F.transform(proposed(kind, own), of))
-    scored = f"transform(`{own}of`, x -> named_struct('start', x.start, 'kind', {KINDS.index(kind)}, 'end', x.end, 'margin', {model.margin_sql('x')}))"
-    return rows.withColumn(f"{own}added_{kind}", F.expr(f"filter({scored}, x -> x.margin >= {model.threshold!r}D AND x.start < x.end)")).drop(f"{own}of")
+    scored = f"transform(`{own}of`, x -> named_struct('start', x.start, 'kind', {KINDS.index(kind)}, 'end', x.end, 'weight', {model.margin_sql('x')} - {model.threshold!r}D + 0.01D))"
+    return rows.withColumn(f"{own}added_{kind}", F.expr(f"filter({scored}, x -> x.weight >= 0.01D AND x.start < x.end)")).drop(f"{own}of")
 
 
 def with_spans(rows: DataFrame, models: dict[str, Boosted], text: str, own: str) -> DataFrame:
-    """The rows with {own}{kind}, the base matches, and {own}spans, base and added spans sorted by start, kind and end, each once.
-    Of two added spans that follow each other by start and overlap, the one with the smaller score goes, the later one if equal."""
+    """The rows with {own}{kind}, the base matches, and {own}spans, base and added spans sorted by start, kind and end, each once; added
+    ones are apart from each other."""
     live = tuple(k for k in KINDS if models[k].threshold is not None)
     rows = with_proposals(with_base(rows, text, own), live, text, own)
     for kind in live:
         rows = with_added(rows, kind, models[kind], own)
-    none = F.array().cast("array<struct<start: int, kind: int, end: int, margin: double>>")
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, weight: double>>")
     rows = rows.withColumn(f"{own}found", F.array_sort(F.concat(none, *(f"{own}added_{k}" for k in live))))
-    every = F.col(f"{own}found")
-    beaten = lambda x, y, ties: (x["start"] < y["end"]) & (y["start"] < x["end"]) & ((y["margin"] > x["margin"]) | (F.lit(ties) & (y["margin"] == x["margin"])))
-    # get() past either end is null, which beats nothing.
-    better = F.filter(every, lambda x, i: ~F.coalesce(beaten(x, F.get(every, i - 1), True), F.lit(False)) & ~F.coalesce(beaten(x, F.get(every, i + 1), False), F.lit(False)))
     base = [placed(F.col(f"{own}{k}"), k) for k in KINDS]
-    return rows.withColumn(f"{own}spans", F.array_sort(F.array_distinct(F.concat(*base, F.transform(better, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))))))
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return rows.withColumn(f"{own}spans", F.array_sort(F.array_distinct(F.concat(*base, plain(apart(F.col(f"{own}found")))))))
+
+
+def apart(spans: Column) -> Column:
+    """Of spans (start, kind, end, weight over zero), sorted, those apart from each other that weigh most together. Spans that overlap, directly or
+    through others, are a cluster, found by running maxima of the ends; in a cluster, in order of their ends, the best choice up
+    to a span is that without it, or with it and the best one that ends before it starts. A cluster takes steps as the square
+    of its spans, which generators keep few: matches of one generator are apart."""
+    ends = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+    def clusters(v: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(v, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(reach, i - 1)), i).otherwise(-1)), lambda i: i >= 0)
+        return let(heads, lambda h: F.transform(h, lambda a, i: F.slice(v, a + 1, F.coalesce(F.get(h, i + 1), F.size(v)) - a)))
+
+    picked = "array<struct<start: int, kind: int, end: int, weight: double>>"
+    start = F.array(F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("weight"), F.array().cast(picked).alias("picked")))
+
+    def best(cluster: Column) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            before = F.element_at(F.filter(done, lambda d: d["end"] <= x["start"]), -1)
+            taken = F.struct(x["end"].alias("end"), (before["weight"] + x["weight"]).alias("weight"), F.array_append(before["picked"], x).alias("picked"))
+            return F.when(taken["weight"] > F.element_at(done, -1)["weight"], F.array_append(done, taken)).otherwise(done)
+
+        by_end = F.array_sort(cluster, lambda a, b: F.when(a["end"] != b["end"], a["end"] - b["end"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(by_end, start, step, lambda done: F.element_at(done, -1)["picked"]))
+
+    return F.when(F.size(spans) < 2, spans).otherwise(let(spans, lambda v: let(ends, lambda reach: F.flatten(F.transform(clusters(v, reach), best)))))
 
 
 def joined(spans: Column) -> Column:
