@@ -15,6 +15,8 @@ BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Numbers of a product of counts and the matrix that are in memory at a time.
+CELLS = 1 << 21
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 
 
@@ -65,26 +67,29 @@ class Model:
         self.langs, self.prior, self.matrix = langs, prior, matrix
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int, int]], n_buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> Model:
+    def fit(cls, rows: list[tuple[str, int | np.ndarray, int | np.ndarray]], n_buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> Model:
         langs = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(langs)}
         n, docs = np.full((n_buckets, len(langs)), smoothing), np.zeros(len(langs))
         for lang, bucket, count in rows:
-            if bucket < 0:
-                docs[at[lang]] += count
-            else:
-                n[bucket, at[lang]] += count
+            bucket, count = np.atleast_1d(bucket), np.atleast_1d(count)
+            docs[at[lang]] += count[bucket < 0].sum()
+            n[bucket[bucket >= 0], at[lang]] += count[bucket >= 0]
         return cls(langs, np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), np.log(n / n.sum(axis=0)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probabilities (texts x languages): the texts' bucket counts as sparse rows, multiplied with the matrix at once."""
+        """Probabilities (texts x languages): the texts' bucket counts as sparse rows, multiplied with blocks of the matrix's columns."""
         if not texts:
             return np.zeros((0, len(self.langs)))
         counts = [np.bincount(buckets(t, len(self.matrix)), minlength=len(self.matrix)) for t in texts]
         column = [np.flatnonzero(n) for n in counts]
         begins = np.cumsum([0, *map(len, column[:-1])])
         value = np.concatenate([n[c] for n, c in zip(counts, column, strict=True)])
-        logs = np.add.reduceat(value[:, None] * self.matrix[np.concatenate(column)], begins, axis=0) + self.prior
+        at, logs = np.concatenate(column), np.empty((len(texts), len(self.langs)))
+        step = max(1, CELLS // len(at))
+        for a in range(0, len(self.langs), step):  # a few languages at a time: a product has one number for each n-gram and language
+            logs[:, a : a + step] = np.add.reduceat(value[:, None] * self.matrix[at, a : a + step], begins, axis=0)
+        logs += self.prior
         logs = np.exp(logs - logs.max(axis=1, keepdims=True))
         return logs / logs.sum(axis=1, keepdims=True)
 
@@ -99,8 +104,9 @@ def train(docs: DataFrame, n_buckets: int = BUCKETS) -> Model:
     found = counts(docs.where("lang is not null"), n_buckets)
     if docs.where("lang is not null").select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = found.collect()
-    return Model.fit([tuple(r) for r in rows], n_buckets)
+    lists = found.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).select("lang", "all.bucket", "all.n").toArrow()
+    numbers = lambda c, i: lists.column(c)[i].values.to_numpy(zero_copy_only=False)
+    return Model.fit([(lang, numbers("bucket", i), numbers("n", i)) for i, lang in enumerate(lists.column("lang").to_pylist())], n_buckets)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
