@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,13 +140,16 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+#: The part of a row that says only that there is a group.
+MARKER = -1
 SKETCH = "part int, id long, copy long, cells binary, counts binary"
 ANSWER = "id long, copy long, part int, cells binary, counts binary"
 
 
 def _sketched(docs: DataFrame, bits: int, window: int) -> DataFrame:
     """SKETCH rows of (id, copy, text, grp) rows that are sorted by grp, id and copy: for each group and block, the distinct
-    cells (uint32, within the block) and how often a place of an anchor fell there (uint16, cut at its greatest value)."""
+    cells (uint32, within the block) and how often a place of an anchor fell there (uint16, cut at its greatest value). Each group also
+    has a row without cells, of part MARKER, whether it has anchors or not."""
     own_bits = block_bits(bits)
 
     def run(batches):
@@ -176,6 +180,7 @@ def _sketched(docs: DataFrame, bits: int, window: int) -> DataFrame:
                     if held:
                         yield from flush()
                     key, held = (int(group[a]), batch.column(0)[a].as_py(), batch.column(1)[a].as_py()), []
+                    yield record_batch(part=np.array([MARKER], np.int32), id=[key[1]], copy=[key[2]], cells=[b""], counts=[b""])
                 for _, texts in pieces(batch.slice(a, b - a), limit=PART_BYTES):
                     w = Windows(texts, window)
                     if len(w.anchor):  # places of anchors never go back
@@ -187,7 +192,7 @@ def _sketched(docs: DataFrame, bits: int, window: int) -> DataFrame:
 
 
 def _merged(sketches: DataFrame, bits: int) -> DataFrame:
-    """ANSWER rows: of each group's cells those whose counts add up to two or more, with the sums (uint16, cut)."""
+    """ANSWER rows: of each group's cells those whose counts add up to two or more, with the sums (uint16, cut); and the groups' markers."""
     size = 1 << block_bits(bits)
 
     def run(batches):
@@ -208,6 +213,10 @@ def _merged(sketches: DataFrame, bits: int) -> DataFrame:
                 )
 
         for batch in batches:
+            marks = pc.equal(batch.column(0), MARKER)
+            if pc.any(marks).as_py():
+                yield batch.filter(marks).select(["id", "copy", "part", "cells", "counts"])
+                batch = batch.filter(pc.invert(marks))
             for part, name, copy, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != last:
                     yield from flush()
@@ -259,7 +268,8 @@ CANDIDATE = "known boolean, hot boolean, id long, copy long, key long, first int
 
 def _candidates(docs: DataFrame, bits: int, window: int, hot_anchor: int) -> DataFrame:
     """CANDIDATE rows of (id, copy, text, grp, answers) rows that are sorted by grp, id and copy; the first row of a group has
-    its answers (one that comes later would mean that the group was cut otherwise than in pass one, and is an error). known: starts of windows that the piece itself showed to be later ones. Others are the earliest of their
+    its answers, its marker at least (a group that begins without, or has them later, was cut otherwise than in pass one, which is an
+    error). known: starts of windows that the piece itself showed to be later ones. Others are the earliest of their
     piece: a row for each document and anchor, its windows' starts (int32) and hashes; or, hot, for each window, with
     the window's hash as the key and the anchor in `hashes`."""
 
@@ -284,10 +294,10 @@ def _candidates(docs: DataFrame, bits: int, window: int, hot_anchor: int) -> Dat
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own = batch.slice(a, b - a)
                 begins = group != groups[a]
-                if own.column(4).slice(int(begins)).null_count < len(own) - int(begins):
+                if begins and not own.column(4)[0].is_valid or own.column(4).slice(int(begins)).null_count < len(own) - int(begins):
                     raise RuntimeError("a group of documents was dealt out differently in two passes")
                 if begins:
-                    group, answers = groups[a], Answers(own.column(4)[0].as_py() or [], bits)
+                    group, answers = groups[a], Answers(own.column(4)[0].as_py(), bits)
                 for part, texts in pieces(own.select([0, 1, 2]), limit=PART_BYTES):
                     w = Windows(texts, window)
                     n = answers.counts(w.anchor)

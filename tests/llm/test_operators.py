@@ -2,12 +2,13 @@
 of clashing names."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetlens.llm import bpe, decontam, langid, mil, pii, quality_rules, sharding, simhash, substring, warc
+from packetlens.llm import bpe, common, decontam, langid, mil, pii, quality_rules, sharding, simhash, substring, warc
 
 from . import brute
 
@@ -294,6 +295,19 @@ def test_substring_dedup(docs, spark):
     assert substring.dedup(docs.limit(0)).count() == 0
 
 
+def test_a_group_that_is_cut_in_the_second_pass_is_an_error(spark):
+    """Of a group of documents that two tasks share, the second one lacks the answers; it must not pass for one without repeats."""
+    own = spark.createDataFrame([(i, 7, BASE) for i in (1, 2, 3)], "id long, copy long, text string").withColumn("grp", F.lit(0)).coalesce(1).sortWithinPartitions("id")
+    answers = substring._merged(substring._sketched(own, 10, 20), 10).groupBy("id", "copy").agg(F.collect_list(F.struct("part", "cells", "counts")).alias("answers"))
+    assert [r.id for r in answers.collect()] == [1]
+    asked = common.durable(own.join(answers, ["id", "copy"], "left").select("id", "copy", "text", "grp", "answers").coalesce(1).sortWithinPartitions("id"))
+    assert substring._candidates(asked, 10, 20, 256).count()
+    with pytest.raises(Exception, match="dealt out differently"):
+        substring._candidates(asked.repartitionByRange(3, "id"), 10, 20, 256).count()
+    few = own.select("id", "copy", F.lit("of few words").alias("text"), "grp")
+    assert [r.part for r in substring._sketched(few, 10, 20).collect()] == [substring.MARKER]
+
+
 def test_hot_anchors_and_full_sketches_change_no_row(docs, table):
     """Windows that meet under their own hash, and a sketch of 1024 cells, as for a text of few bytes, however many anchors there are."""
     want = rows(substring.dedup(table))
@@ -358,6 +372,20 @@ def test_language_id(docs, spark):
         assert np.allclose(row, np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
 
 
+def test_many_languages_take_blocks_of_memory():
+    rng = np.random.default_rng(1)
+    langs = [f"l{i:03}" for i in range(500)]
+    model = langid.Model(langs, np.log(np.full(500, 1 / 500)), np.log(rng.random((langid.BUCKETS, 500))))
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 200_000)))  # of many n-grams
+    tracemalloc.start()
+    got = model.score([text, "ab"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.bincount(langid.buckets(text), minlength=langid.BUCKETS)
+    logs = model.prior + sum(n * model.matrix[b] for b, n in enumerate(counts) if n)
+    assert most < 100e6 and np.allclose(got[0], np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum())
+
+
 def test_language_query_is_that_of_a_plain_count(spark, table):
     rows_ = [tuple(r) for r in table.select("doc_id", "text", "lang").collect()]
     want = brute.languages(rows_, langid)
