@@ -11,8 +11,9 @@ is regularised: it is mixed with that of the language as if 20 more documents ha
 a group of any size has an estimate of its own and a small one is near its language's. A document too far from its group's
 centre is rejected.
 
-A step is one aggregate over all documents: sums for each group, start and bin of the distance, so a group of any size
-and any number of groups are dealt out alike; the cut falls between bins. Vectors are integers (fixed point), so sums are
+A step is one aggregate: sums for each group, start and bin of the distance; the cut falls between bins. Groups of up to
+GROUP_ROWS documents go through all their steps in one task, on their vectors alone; in larger ones a step is an aggregate over all
+of them, which deals out a group of any size. Both follow one law. Vectors are integers (fixed point), so sums are
 exact and a repeated run gives the same rows.
 """
 
@@ -43,6 +44,8 @@ LEAST_GAIN = 0.01
 #: Scatter that is taken for none, in any direction: that of the fixed point itself.
 LEAST_SCATTER = 1.0
 BINS, BINS_PER_LOG = 128, 16
+#: Documents of a group whose steps are taken in one task.
+GROUP_ROWS = 50_000
 #: Groups whose estimates are sent to every task; beyond, they are joined by key.
 BROADCAST_GROUPS = 20_000
 
@@ -224,19 +227,51 @@ def _starts(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out)
 
 
+def _bins(x: np.ndarray, state: dict) -> pd.DataFrame:
+    """What `refit` takes, of a group's vectors."""
+    away = [x[:, i] - state["centre"][i] for i in range(DIMS)]
+    d = sum((state["inverse"][k] * away[i] * away[j] * (1 if i == j else 2) for k, (i, j) in enumerate(UPPER)), np.zeros(len(x)))
+    at = np.minimum(np.floor(np.log1p(np.maximum(d, 0.0)) * BINS_PER_LOG), BINS - 1).astype(np.int64)
+    total = {"n": np.ones(len(x)), **{f"s{i}": x[:, i] for i in range(DIMS)}, **{f"s{i}_{j}": x[:, i] * x[:, j] for i, j in UPPER}}
+    used = np.unique(at)
+    columns = {k: np.bincount(at, weights=v, minlength=BINS)[used] for k, v in total.items()}
+    return pd.DataFrame({"bin": used, **columns, **{k: state[k] for k in ("lang", "source", "start")}, "target": [state["target"]] * len(used)})
+
+
+def _settled(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    """The best of a group's starts, all steps taken."""
+    x = rows[X].to_numpy(float)
+    done = []
+    for state in states.sort_values("start").to_dict("records"):
+        while state["active"]:
+            new = refit(_bins(x, state)).to_dict("records")[0]
+            gain = state["log_det"] - new["log_det"]
+            state = (new if gain > 0 else state) | {"active": gain > LEAST_GAIN}
+        done.append(state)
+    best = min(done, key=lambda e: (e["log_det"], e["start"])) if done else None
+    return pd.DataFrame([best] if best else [], columns=["lang", "source", "n", "centre", "scatter", "target"])
+
+
 def small(found: DataFrame) -> DataFrame:
     """Broadcast, if the rows are few."""
     return F.broadcast(found) if found.count() <= 3 * BROADCAST_GROUPS else found
 
 
-def estimates(rows: DataFrame, wider: DataFrame | None = None) -> DataFrame:
+def estimates(rows: DataFrame, wider: DataFrame | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(lang, source, n, centre, scatter): for each group of (lang, source, x0..) rows the regularised minimum covariance determinant
     estimate, from three starts. wider: (lang, wider, target), the centre and scatter of each language."""
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *sums()).join(quartiles(rows, [F.col(x) for x in X]), ["lang", "source"])
     none = F.lit(None).cast("array<double>")
     groups = groups.join(small(wider), "lang", "left") if wider is not None else groups.withColumns({"wider": none, "target": none})
-    now = durable(groups.mapInPandas(_starts, STATE))
+    starts = durable(groups.mapInPandas(_starts, STATE))
+    few = starts.where(F.col("n") <= group_rows)
+    now = starts.where(F.col("n") > group_rows)
+    keys = few.select("lang", "source").distinct()
+    own = rows.join(small(keys), ["lang", "source"], "left_semi").groupBy("lang", "source").cogroup(few.groupBy("lang", "source"))
+    in_tasks = own.applyInPandas(_settled, "lang string, source string, n long, centre array<double>, scatter array<double>, target array<double>")
     left = now.count()
+    if not left:
+        return in_tasks
     while left:
         few = (lambda x: F.broadcast(x)) if left <= 3 * BROADCAST_GROUPS else (lambda x: x)
         old = now.where("active")
@@ -251,7 +286,7 @@ def estimates(rows: DataFrame, wider: DataFrame | None = None) -> DataFrame:
         now = durable(found.select("lang", "source", "start", *(f"e.{c}" for c in ("n", "centre", "scatter", "inverse", "target", "log_det")), F.coalesce(F.col("gain") > LEAST_GAIN, F.lit(False)).alias("active")))
         left = now.where("active").count()
     best = F.min_by(F.struct("n", "centre", "scatter", "target"), F.struct("log_det", "start")).alias("e")
-    return now.groupBy("lang", "source").agg(best).select("lang", "source", "e.*")
+    return now.groupBy("lang", "source").agg(best).select("lang", "source", "e.*").unionByName(in_tasks)
 
 
 def _pooled(groups: DataFrame) -> DataFrame:
@@ -271,14 +306,14 @@ def _final(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "centre": centre, "inverse": inverse})
 
 
-def group_estimates(rows: DataFrame) -> DataFrame:
+def group_estimates(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(lang, source, centre, inverse) for every language and source of (lang, source, x0..) rows."""
-    wider = durable(_pooled(estimates(rows.withColumn("source", F.lit("")))))
-    found = estimates(rows, wider).drop("target").join(small(wider), "lang")
+    wider = durable(_pooled(estimates(rows.withColumn("source", F.lit("")), None, group_rows)))
+    found = estimates(rows, wider, group_rows).drop("target").join(small(wider), "lang")
     return durable(found.mapInPandas(_final, "lang string, source string, centre array<double>, inverse array<double>"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, *BASE, base_failed, kept, distance) for every row of docs (doc_id, text, lang, source).
 
     base_failed: fewer than 50 words, or over half of them in repeated runs. Others are judged by the estimate of their
@@ -290,6 +325,6 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rows = durable(with_statistics(docs).withColumn("base_failed", failed))
     rows = durable(vectors(rows.where("not base_failed"), rows).select("doc_id", "lang", "source", *BASE, "base_failed", *X))
-    found = group_estimates(rows.where("not base_failed").select("lang", "source", *X))
+    found = group_estimates(rows.where("not base_failed").select("lang", "source", *X), group_rows)
     out = rows.join(small(found), ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), distance(F.col("centre"), F.col("inverse"))))
     return out.select("doc_id", *BASE, "base_failed", F.coalesce(~F.col("base_failed") & (F.col("distance") <= CUT), F.lit(False)).alias("kept"), "distance")

@@ -91,6 +91,12 @@ def test_quality_rules_reject_a_planted_outlier(spark):
     assert not kept.pop(999) and all(kept.values())
 
 
+def test_small_and_large_groups_follow_one_law(table):
+    in_tasks, by_aggregates = ({r.doc_id: (r.kept, r.distance) for r in quality_rules.judged(table, n).collect()} for n in (50_000, 0))
+    assert {i: k for i, (k, _) in in_tasks.items()} == {i: k for i, (k, _) in by_aggregates.items()}
+    assert all(d is None and by_aggregates[i][1] is None or abs(d - by_aggregates[i][1]) < 1e-6 for i, (_, d) in in_tasks.items())
+
+
 def test_estimates_are_least_determinants_of_all_subsets(spark):
     """Small groups, against every subset: the same verdicts, and a determinant about as small."""
     rng = np.random.default_rng(6)
