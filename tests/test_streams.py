@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlens.streaming import events as S
+from packetlens.streaming import uploads as U
 
 DAY = pd.Timestamp("2024-01-01")
 
@@ -71,3 +72,25 @@ def test_no_events_no_rows(spark, tmp_path, folder):
     spark.read.parquet(f"{folder[0]}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
     assert S.drained(S.rates, S.stream(spark, str(tmp_path))).count() == 0
     assert S.drained(S.lost_connections, S.stream(spark, str(tmp_path))).count() == 0
+
+
+def test_uploads_come_in_any_order(spark, tmp_path):
+    content = {i: bytes(range(i % 256)) * (i % 5) for i in range(1, 40)}
+    sent = [(i, k, -(-len(c) // 100) or 1, c[k * 100 : k * 100 + 100], DAY + pd.Timedelta(minutes=(i * 31 + k * 17) % 90)) for i, c in content.items() for k in range(-(-len(c) // 100) or 1)]
+    lost = next(x for x in sent if x[0] == 29 and x[1] == 1)
+    sent = sorted([x for x in sent if x != lost] + [x for x in sent if x[0] % 4 == 0], key=lambda x: (x[1] * 7 + x[0]) % 13)
+    sent.append((5, 99, 1, b"outside", DAY))
+    for n in range(6):
+        pd.DataFrame(sent[n::6], columns=["file_id", "chunk_number", "total_chunks", "data", "ts"]).astype({"chunk_number": "int32", "total_chunks": "int32"}).to_parquet(tmp_path / f"{n}.parquet", coerce_timestamps="us")
+    rows = spark.readStream.schema(U.CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    progress = []
+    got = {r.file_id: r for r in S.drained(lambda r: U.assembled(r, 7200.0, "2 hours"), rows, progress).collect()}
+    assert len(got) == len(content) and got[29].status == "expired" and got[29].content is None and got[29].n_bytes == 100
+    assert all(r.status == "complete" and bytes(r.content) == content[i] and r.n_chunks == (-(-len(content[i]) // 100) or 1) for i, r in got.items() if i != 29)
+    assert most_state(progress)[1] == 0
+
+
+def test_chunks_of_files(spark):
+    files = spark.createDataFrame([(1, "abcdefg"), (2, ""), (3, None)], "i long, c string")
+    got = sorted((r.file_id, r.chunk_number, r.total_chunks, bytes(r.data or b"")) for r in U.chunks(files, "i", F.coalesce("c", F.lit("")), F.lit("2024-01-01"), 3).collect())
+    assert got == [(1, 0, 3, b"abc"), (1, 1, 3, b"def"), (1, 2, 3, b"g"), (2, 0, 1, b""), (3, 0, 1, b"")]
