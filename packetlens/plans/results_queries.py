@@ -8,11 +8,13 @@ from packetlens.operators import boundaries as B
 from packetlens.operators import results as R
 from packetlens.operators import segments as G
 from packetlens.operators import sessions as S
+from packetlens.sources import archives as Z
 from packetlens.sources.packets import packet_pages, table
+from packetlens.streaming.events import shared_folder
 
 from .event_queries import BLOCKS, FOLDED, NOW, blocks, events, folded, now
 from .registry import query
-from .text_queries import PACKET, SEGMENTS, TYPED, _typed, found, starts
+from .text_queries import BOUNDARIES, PACKET, SEGMENTS, TYPED, _typed, found, starts
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
@@ -119,7 +121,7 @@ def asked_pairs(spark, sf_dir):
     return R.asked_pairs(rows, [1, 3], "turn").select("conv_id", "turn")
 
 
-@query(f"{SEGMENTS}, f AS (SELECT packet_id, page_no, min(confidence) AS confidence FROM h WHERE boundary_type = 'document_start' GROUP BY ALL) SELECT p.packet_id, p.page_no, round(confidence, 6) AS confidence FROM p LEFT JOIN f USING (packet_id, page_no)")
+@query(f"{BOUNDARIES} SELECT packet_id, page_no, CASE WHEN boundary_type = 'document_start' THEN round(confidence, 6) END AS confidence FROM h UNION ALL SELECT packet_id, page_no, NULL FROM p WHERE page_no = 0")
 def page_boundaries(spark, sf_dir):
     pages = packet_pages(spark, sf_dir)
     return R.first_boundary(pages.select("packet_id", "page_no"), starts(pages).select("packet_id", "page_no", "confidence")).select("packet_id", "page_no", R6("confidence"))
@@ -223,3 +225,28 @@ def edited_segments(spark, sf_dir):
     return G.edited(rows, edits)[0].select("packet_id", "segment_no", "start_page", "end_page", "filename")
 
 
+
+
+ARCHIVE_BYTES = 4000
+MEMBERS = f"{SEGMENTS}, mm AS (SELECT seg.packet_id, seg.segment_no, string_agg(p.text, chr(12) ORDER BY p.page_no) AS content FROM seg JOIN p ON p.packet_id = seg.packet_id AND p.page_no BETWEEN start_page AND end_page GROUP BY seg.packet_id, seg.segment_no)"
+
+
+@query(f"{MEMBERS}, aa AS (SELECT *, strlen(content) AS n, sum(strlen(content)) OVER (PARTITION BY packet_id ORDER BY segment_no) AS upto FROM mm) SELECT packet_id, (upto - n) // {ARCHIVE_BYTES} AS archive_no, count(*) AS members, CAST(sum(n) AS BIGINT) AS n_bytes, sha256(string_agg(content, '' ORDER BY segment_no)) AS content_sha256 FROM aa GROUP BY 1, 2")
+def archived_segments(spark, sf_dir):
+    """Segments written as archives of each packet, and read back by the offsets of their list."""
+    rows, pages = found(spark, sf_dir)
+    own = G.with_pages(rows, pages).groupBy("packet_id", "segment_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    content = F.array_join(F.transform("pages", lambda x: x["text"]), "\f").cast("binary")
+    members = own.select("packet_id", F.col("segment_no").alias("position"), F.format_string("segment_%05d.txt", "segment_no").alias("name"), content.alias("content"), F.lit(None).cast("string").alias("metadata"))
+    path = shared_folder(spark)
+    Z.write_archives(members, path, ARCHIVE_BYTES, compress="false")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "packet_*").load(path).select(F.substring_index("path", "/", -1).alias("archive"), F.col("content").alias("whole"))
+    listed = Z.manifest(spark, path).join(files, "archive").withColumn("content", F.substring("whole", F.col("offset").cast("int") + 1, F.col("size").cast("int")))
+    parts = listed.groupBy("packet_id", "archive_no").agg(F.count("*").alias("members"), F.sum("size").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("position", F.col("content").cast("string").alias("content")))).alias("m"))
+    return parts.select("packet_id", "archive_no", "members", "n_bytes", F.sha2(F.array_join(F.transform("m", lambda x: x["content"]), ""), 256).alias("content_sha256"))
+
+
+@query("WITH f AS (SELECT page_id, strlen(coalesce(html, '')) AS n FROM pages), c AS (SELECT page_id, n, unnest(range(0, greatest(n, 1), 1000)) AS at_byte FROM f) SELECT page_id, at_byte AS start_byte, least(1000, n - at_byte) AS n_bytes, round(CASE WHEN n = 0 THEN 1.0 ELSE least(at_byte + 1000, n) / n::DOUBLE END, 6) AS progress FROM c")
+def chunked_reads(spark, sf_dir):
+    rows = Z.read_in_chunks(table(spark, sf_dir, "pages"), F.col("page_id"), F.octet_length(F.coalesce("html", F.lit(""))), 1000)
+    return rows.select(F.col("path").alias("page_id"), F.col("offset").alias("start_byte"), "n_bytes", R6("progress"))
