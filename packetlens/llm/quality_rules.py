@@ -12,7 +12,7 @@ a group of any size has an estimate of its own and a small one is near its langu
 centre is rejected.
 
 A step is one aggregate: sums for each group, start and bin of the distance; the cut falls between bins. Groups of up to
-GROUP_ROWS documents go through all their steps in one task, on their vectors alone; in larger ones a step is an aggregate over all
+GROUP_ROWS documents (languages of up to LANGUAGE_ROWS) go through all their steps in one task, on their vectors alone; in larger ones a step is an aggregate over all
 of them, which deals out a group of any size. Both follow one law. Vectors are integers (fixed point), so sums are
 exact and a repeated run gives the same rows.
 """
@@ -44,8 +44,9 @@ LEAST_GAIN = 0.01
 #: Scatter that is taken for none, in any direction: that of the fixed point itself.
 LEAST_SCATTER = 1.0
 BINS, BINS_PER_LOG = 128, 16
-#: Documents of a group whose steps are taken in one task.
-GROUP_ROWS = 50_000
+#: Documents of a language, and of a language's source, whose steps are taken in one task. Fewer of a language, as there are few of them to
+#: share the work.
+LANGUAGE_ROWS, GROUP_ROWS = 3_000, 10_000
 #: Groups whose estimates are sent to every task; beyond, they are joined by key.
 BROADCAST_GROUPS = 20_000
 
@@ -306,9 +307,9 @@ def _final(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "centre": centre, "inverse": inverse})
 
 
-def group_estimates(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def group_estimates(rows: DataFrame, group_rows: int = GROUP_ROWS, language_rows: int = LANGUAGE_ROWS) -> DataFrame:
     """(lang, source, centre, inverse) for every language and source of (lang, source, x0..) rows."""
-    wider = durable(_pooled(estimates(rows.withColumn("source", F.lit("")), None, group_rows)))
+    wider = durable(_pooled(estimates(rows.withColumn("source", F.lit("")), None, min(group_rows, language_rows))))
     found = estimates(rows, wider, group_rows).drop("target").join(small(wider), "lang")
     return durable(found.mapInPandas(_final, "lang string, source string, centre array<double>, inverse array<double>"))
 
