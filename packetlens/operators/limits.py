@@ -139,13 +139,15 @@ def bucket_waits(rows: DataFrame, key: str, capacity: float, rate: float, tokens
 
 def concurrency(rows: DataFrame, key: str, seconds: Column, event: str = "event_id") -> DataFrame:
     """The rows with n_active: how many requests of the key run when it starts, itself included. A request runs from ts for `seconds`; one that
-    ends when another starts has left. Starts and ends are sorted together, and each adds or takes one."""
+    ends when another starts has left, and one that takes no time, or null, counts for itself alone. Starts and ends are sorted together, and
+    each adds or takes one."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = rows.withColumns({"__start": t, "__end": t + F.round(seconds * SECOND).cast("long")})
-    moment = lambda at, n: F.struct(F.col(at).alias("at"), F.lit(n).cast("long").alias("change"))
-    both = rows.withColumn("__m", F.explode(F.array(moment("__start", 1), moment("__end", -1)))).select(*rows.columns, "__m.*")
-    both = running(both, key, ["at", "change", event], "__n", {"n_active": "change"})
-    return both.where("change = 1").drop("at", "change", "__n", "__start", "__end")
+    moment = lambda at, n, ends: F.struct(F.col(at).alias("at"), F.lit(n).cast("long").alias("change"), F.lit(ends).alias("ends"))
+    moments = F.when(F.col("__end") > F.col("__start"), F.array(moment("__start", 1, False), moment("__end", -1, True))).otherwise(F.array(moment("__start", 0, False)))
+    both = rows.withColumn("__m", F.explode(moments)).select(*rows.columns, "__m.*")
+    both = running(both, key, ["at", F.col("ends").desc(), event], "__n", {"n_active": "change"})
+    return both.where("not ends").withColumn("n_active", F.col("n_active") + 1 - F.col("change")).drop("at", "change", "ends", "__n", "__start", "__end")
 
 
 def slot_waits(rows: DataFrame, key: str, slots: int, seconds: Column) -> DataFrame:
