@@ -23,6 +23,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Times after all others: the first closes what is open, the second ends what waits for a timer that the first has set.
 ENDS = ("2999-01-01 00:00:00", "2999-12-31 00:00:00")
 SPAN = 3_600_000
+#: Groups of keys whose state is kept together, and rows of a group that a task holds at a time, beside those of one span.
+GROUPS, MOST_ROWS = 512, 1 << 18
 
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -50,36 +52,72 @@ def sessions(rows: DataFrame, key: str = "user_id", gap: str = "30 minutes", lat
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key (micros, event_id) in order of time, whatever the order in which they come: they are kept by spans of time, in milliseconds,
-    and a span is handed to `take` once the watermark has passed it, so a task holds one span of one key."""
+    """Rows (key, micros, event_id) of a group of keys in order of time, whatever the order in which they come: they are kept by spans of time, in
+    milliseconds, and handed to `take`, some spans at a time, once the watermark has passed them. State is read and written once for a span of a
+    group, not for each key or row, and a group has one timer; null keys are a group of their own."""
 
-    def __init__(self, span: int = SPAN):
-        self.span = span
+    def __init__(self, span: int = SPAN, most: int = MOST_ROWS):
+        self.span, self.most = span, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        self.own = handle.getValueState("own", "state binary")
+
+    def _wait(self, found: list[np.ndarray]) -> None:
+        rows = np.concatenate(found)
+        at = rows[:, 1] // (self.span * 1000)
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        cuts = [*np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist(), len(at)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            span = int(at[a])
+            before = self.waiting.getValue((span,))
+            self.waiting.updateValue((span,), ((bytes(before[0]) if before is not None else b"") + rows[a:b].tobytes(),))
+        self.handle.registerTimer((int(at[0]) + 1) * self.span)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found: list[np.ndarray] = []
         for pdf in rows:
-            own = pdf[["micros", "event_id"]].to_numpy(np.int64)
-            at = own[:, 0] // (self.span * 1000)
-            for span in np.unique(at).tolist():
-                known = self.waiting.containsKey((span,))
-                before = bytes(self.waiting.getValue((span,))[0]) if known else b""
-                self.waiting.updateValue((span,), (before + own[at == span].tobytes(),))
-                if not known:
-                    self.handle.registerTimer((span + 1) * self.span)
+            found.append(pdf[["key", "micros", "event_id"]].to_numpy(np.int64))
+            if sum(map(len, found)) >= self.most:
+                self._wait(found)
+                found = []
+        if any(map(len, found)):
+            self._wait(found)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        span = expiredTimerInfo.getExpiryTimeInMs() // self.span - 1
-        if self.waiting.containsKey((span,)):
-            own = np.frombuffer(bytes(self.waiting.getValue((span,))[0]), np.int64).reshape(-1, 2)
+        over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.span
+        spans = sorted(k[0] for k in self.waiting.keys())  # noqa: SIM118 not a dict
+        ready = [s for s in spans if s < over]
+        self.load(bytes(self.own.get()[0]) if self.own.exists() else b"")
+        held: list[np.ndarray] = []
+        for span in ready:
+            held.append(np.frombuffer(bytes(self.waiting.getValue((span,))[0]), np.int64).reshape(-1, 3))
             self.waiting.removeKey((span,))
-            yield self.take(key, own[np.lexsort((own[:, 1], own[:, 0]))])
+            if span == ready[-1] or sum(map(len, held)) >= self.most:
+                rows = np.concatenate(held)
+                held = []
+                yield self.take(key[0] < 0, rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))])
+        left, after = self.left(over * self.span / 1000)
+        if left:
+            self.own.update((left,))
+            self.handle.registerTimer(max(over + 1, int(after * 1000) // self.span + 1) * self.span)
+        else:
+            self.own.clear()
+        if len(spans) > len(ready):
+            self.handle.registerTimer((spans[len(ready)] + 1) * self.span)
+
+    def load(self, state: bytes) -> None:
+        raise NotImplementedError
+
+    def take(self, null: bool, rows: np.ndarray) -> pd.DataFrame:
+        """The answers to rows sorted by key, micros and event_id, none of them before those of an earlier call; null: their key is null."""
+        raise NotImplementedError
 
-    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+    def left(self, now: float) -> tuple[bytes, float]:
+        """The state that rows from `now` on, in seconds, need, and when the first part of it goes."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -89,90 +127,56 @@ class InOrder(StatefulProcessor):
 class Bucket(InOrder):
     """A token bucket for each key; one that is full again is as good as new, so its state goes after that time."""
 
-    def __init__(self, key: str, capacity: float, rate: float, span: int = SPAN):
-        super().__init__(span)
+    def __init__(self, key: str, capacity: float, rate: float, span: int = SPAN, most: int = MOST_ROWS):
+        super().__init__(span, most)
         self.key, self.capacity, self.rate = key, capacity, rate
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.bucket = handle.getValueState("bucket", "tokens double, last double")
-
-    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
-        tokens, last = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
-        out = []
-        for t in rows[:, 0] / 1e6:
-            if last is not None:
-                tokens = min(self.capacity, tokens + (t - last) * self.rate)
-            last = t
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        self.bucket.update((float(tokens), float(last)))
-        # The span's end by which the bucket is full, and a new one the same; the timer that finds no newer rows clears it.
-        full = last + (self.capacity - tokens) / self.rate
-        self.handle.registerTimer((int(full * 1000) // self.span + 2) * self.span)
-        return pd.DataFrame({self.key: key[0], "event_id": rows[:, 1], "allowed": out})
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.bucket.exists():
-            tokens, last = self.bucket.get()
-            if last + (self.capacity - tokens) / self.rate <= expiredTimerInfo.getExpiryTimeInMs() / 1000 - self.span / 1000:
-                self.bucket.clear()
-
-
-class Heartbeats(InOrder):
-    """Connections that had no heartbeat for a while: lost at their last one and that while."""
-
-    def __init__(self, key: str, seconds: float, span: int = SPAN):
-        super().__init__(span)
-        self.key, self.wait = key, int(seconds * 1_000_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "micros long, beats long")
-
-    def _lost(self, key: tuple, rows: list[tuple[int, int]]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["last_micros", "beats"]).astype("int64")
-        out.insert(0, self.key, key[0])
-        return out
-
-    def take(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
-        last, beats = self.last.get() if self.last.exists() else (None, 0)
-        lost = []
-        for t in rows[:, 0].tolist():
-            if last is not None and t - last > self.wait:
-                lost.append((last, beats))
-                beats = 0
-            last, beats = t, beats + 1
-        self.last.update((last, beats))
-        self.handle.registerTimer(((last + self.wait) // (self.span * 1000) + 2) * self.span)
-        return self._lost(key, lost)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.last.exists():
-            last, beats = self.last.get()
-            # All spans that begin before the wait is over have been taken.
-            if last + self.wait < expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.span * 1000:
-                self.last.clear()
-                yield self._lost(key, [(last, beats)])
-
-
-def _kept(rows: DataFrame, key: str, late: str, processor: InOrder, schema: str) -> DataFrame:
+    def load(self, state: bytes) -> None:
+        known = np.frombuffer(state, [("key", np.int64), ("tokens", np.float64), ("last", np.float64)])
+        self.buckets = dict(zip(known["key"].tolist(), zip(known["tokens"].tolist(), known["last"].tolist(), strict=True), strict=True))
+
+    def take(self, null: bool, rows: np.ndarray) -> pd.DataFrame:
+        capacity, rate, out = self.capacity, self.rate, np.empty(len(rows), bool)
+        begins = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])).tolist()
+        times = rows[:, 1] / 1e6
+        for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
+            k = int(rows[a, 0])
+            tokens, last = self.buckets.get(k, (capacity, None))
+            for i, t in enumerate(times[a:b].tolist(), a):
+                if last is not None:
+                    tokens = min(capacity, tokens + (t - last) * rate)
+                last = t
+                out[i] = tokens >= 1
+                tokens -= tokens >= 1
+            self.buckets[k] = tokens, last
+        keys = pd.array(rows[:, 0], "Int64")
+        if null:
+            keys[:] = pd.NA
+        return pd.DataFrame({self.key: keys, "event_id": rows[:, 2], "allowed": out})
+
+    def left(self, now: float) -> tuple[bytes, float]:
+        # A second more than it takes to be full, so that rounding leaves it full.
+        full = {k: last + (self.capacity - tokens) / self.rate + 1 for k, (tokens, last) in self.buckets.items()}
+        kept = [(k, *self.buckets[k]) for k, at in full.items() if at > now]
+        return np.array(kept, [("key", np.int64), ("tokens", np.float64), ("last", np.float64)]).tobytes(), min((at for at in full.values() if at > now), default=0.0)
+
+
+def bucket_decisions(rows: DataFrame, key: str = "user_id", capacity: float = 3.0, rate: float = 1 / 86400, late: str = "10 minutes", span: int = SPAN, groups: int = GROUPS) -> DataFrame:
+    """(key, event_id, allowed) by a token bucket for each key, in order of time and event_id. Rows later than the watermark are dropped. Keys are
+    dealt to `groups`, which have their state together."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    timed = _timed(rows, late).select(key, "event_id", "ts", F.unix_micros("ts").alias("micros"))
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
-
+    group = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    timed = _timed(rows, late).select(group.alias("group"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), "event_id", "ts", F.unix_micros("ts").alias("micros"))
+    return timed.groupBy("group").transformWithStateInPandas(Bucket(key, capacity, rate, span), f"{key} long, event_id long, allowed boolean", "Append", "EventTime")
 
-def bucket_decisions(rows: DataFrame, key: str = "user_id", capacity: float = 3.0, rate: float = 1 / 86400, late: str = "10 minutes", span: int = SPAN) -> DataFrame:
-    """(key, event_id, allowed) by a token bucket for each key, in order of time and event_id. Rows later than the watermark are dropped."""
-    return _kept(rows, key, late, Bucket(key, capacity, rate, span), f"{key} long, event_id long, allowed boolean")
 
-
-def lost_connections(rows: DataFrame, key: str = "user_id", seconds: float = 90.0, late: str = "10 minutes", span: int = SPAN) -> DataFrame:
+def lost_connections(rows: DataFrame, key: str = "user_id", seconds: float = 90.0, late: str = "10 minutes") -> DataFrame:
     """(key, last_micros, beats) for each time that a key was silent for more than `seconds` after a heartbeat: the last heartbeat and how many there
-    were since the time before."""
-    return _kept(rows, key, late, Heartbeats(key, seconds, span), f"{key} long, last_micros long, beats long")
+    were since the time before. A silence is the end of a session, so Spark's session windows keep the state, a row for each open one."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    session = F.session_window("ts", f"{round(seconds * 1_000_000)} microseconds").alias("w")
+    found = _timed(rows, late).groupBy(session, key).agg(F.max("ts").alias("last"), F.count("*").alias("beats"))
+    return found.select(F.col(key).cast("long").alias(key), F.unix_micros("last").alias("last_micros"), "beats")
 
 
 def upsert_into(path: str, key: str, at: str):

@@ -10,3 +10,29 @@ def test_requests_that_take_no_time_count_for_themselves(spark):
     df = spark.createDataFrame(log, "event_id long, k string, t long, need double").withColumn("ts", F.timestamp_seconds("t"))
     got = {r.event_id: r.n_active for r in L.concurrency(df, "k", F.col("need")).collect()}
     assert got == {i: sum(1 for j, q, s, n in log if q == k and (s, j) <= (t, i) and (j == i or n is not None and s + n > t)) for i, k, t, _ in log}
+
+
+def test_state_is_kept_by_groups_of_keys(spark, tmp_path):
+    """600 keys of which each had state of its own: now a row for a group's open span, in batches of any order; one key is null."""
+    import pandas as pd
+
+    from packetlens.streaming import events as S
+
+    start = pd.Timestamp("2024-01-01")
+    rows = [(i, start + pd.Timedelta(minutes=(i * 7) % 2000, seconds=i % 50), i * 7919 % 600 or None) for i in range(3000)]
+    late = [r for r in rows if r[1] >= start + pd.Timedelta(hours=16)]
+    for n, own in enumerate(([r for r in rows if r not in late], late)):
+        frame = pd.DataFrame(own, columns=["event_id", "ts", "user_id"]).astype({"user_id": "Int64"}).sample(frac=1, random_state=n)
+        frame.to_parquet(tmp_path / f"events.parquet{n or ''}", coerce_timestamps="us")
+    progress = []
+    got = S.drained(lambda r: S.bucket_decisions(r, capacity=2.0, rate=1 / 40000, groups=8), S.stream(spark, str(tmp_path), 1), progress).toPandas()
+    state, want = {}, {}
+    for event, ts, user in sorted(rows, key=lambda r: (r[1], r[0])):
+        tokens, last = state.get(user, (2.0, ts))
+        tokens = min(2.0, tokens + (ts - last).total_seconds() / 40000)
+        want[event] = tokens >= 1
+        state[user] = tokens - want[event], ts
+    assert dict(zip(got.event_id, got.allowed, strict=True)) == want and len(set(want.values())) == 2
+    assert got.user_id.isna().sum() == sum(r[2] is None for r in rows)
+    kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    assert max(kept) < 600 and kept[-1] == 0
