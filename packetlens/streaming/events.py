@@ -23,8 +23,9 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Times after all others: the first closes what is open, the second ends what waits for a timer that the first has set.
 ENDS = ("2999-01-01 00:00:00", "2999-12-31 00:00:00")
 SPAN = 3_600_000
-#: Groups of keys whose state is kept together, and rows of a group that a task holds at a time, beside those of one span.
-GROUPS, MOST_ROWS = 512, 1 << 18
+#: Groups of keys whose state is kept together; spans of time whose rows wait together; rows of a group that a task holds at a time, beside
+#: those of one cell.
+GROUPS, CELL, MOST_ROWS = 512, 24, 1 << 18
 
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -52,8 +53,8 @@ def sessions(rows: DataFrame, key: str = "user_id", gap: str = "30 minutes", lat
 
 
 class InOrder(StatefulProcessor):
-    """Rows (key, micros, event_id) of a group of keys in order of time, whatever the order in which they come: they are kept by spans of time, in
-    milliseconds, and handed to `take`, some spans at a time, once the watermark has passed them. State is read and written once for a span of a
+    """Rows (key, micros, event_id) of a group of keys in order of time, whatever the order in which they come: they are handed to `take` once the
+    watermark has passed their span of time, in milliseconds, and wait in cells of CELL spans. State is read and written once for a cell of a
     group, not for each key or row, and a group has one timer; null keys are a group of their own."""
 
     def __init__(self, span: int = SPAN, most: int = MOST_ROWS):
@@ -66,15 +67,15 @@ class InOrder(StatefulProcessor):
 
     def _wait(self, found: list[np.ndarray]) -> None:
         rows = np.concatenate(found)
-        at = rows[:, 1] // (self.span * 1000)
+        at = rows[:, 1] // (self.span * 1000 * CELL)
         order = np.argsort(at, kind="stable")
         rows, at = rows[order], at[order]
         cuts = [*np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist(), len(at)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            span = int(at[a])
-            before = self.waiting.getValue((span,))
-            self.waiting.updateValue((span,), ((bytes(before[0]) if before is not None else b"") + rows[a:b].tobytes(),))
-        self.handle.registerTimer((int(at[0]) + 1) * self.span)
+            cell = int(at[a])
+            before = self.waiting.getValue((cell,))
+            self.waiting.updateValue((cell,), ((bytes(before[0]) if before is not None else b"") + rows[a:b].tobytes(),))
+        self.handle.registerTimer((int(rows[:, 1].min()) // (self.span * 1000) + 1) * self.span)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         found: list[np.ndarray] = []
@@ -89,14 +90,20 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         over = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.span
-        spans = sorted(k[0] for k in self.waiting.keys())  # noqa: SIM118 not a dict
-        ready = [s for s in spans if s < over]
+        cells = sorted(k[0] for k in self.waiting.keys())  # noqa: SIM118 not a dict
+        ready = [c for c in cells if c * CELL < over]
         self.load(bytes(self.own.get()[0]) if self.own.exists() else b"")
         held: list[np.ndarray] = []
-        for span in ready:
-            held.append(np.frombuffer(bytes(self.waiting.getValue((span,))[0]), np.int64).reshape(-1, 3))
-            self.waiting.removeKey((span,))
-            if span == ready[-1] or sum(map(len, held)) >= self.most:
+        for cell in ready:
+            rows = np.frombuffer(bytes(self.waiting.getValue((cell,))[0]), np.int64).reshape(-1, 3)
+            passed = rows[:, 1] < over * self.span * 1000
+            held.append(rows[passed])
+            if passed.all():
+                self.waiting.removeKey((cell,))
+                cells.remove(cell)
+            elif passed.any():
+                self.waiting.updateValue((cell,), (rows[~passed].tobytes(),))
+            if (cell == ready[-1] or sum(map(len, held)) >= self.most) and any(map(len, held)):
                 rows = np.concatenate(held)
                 held = []
                 yield self.take(key[0] < 0, rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))])
@@ -106,8 +113,8 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(max(over + 1, int(after * 1000) // self.span + 1) * self.span)
         else:
             self.own.clear()
-        if len(spans) > len(ready):
-            self.handle.registerTimer((spans[len(ready)] + 1) * self.span)
+        if cells:
+            self.handle.registerTimer((max(over, cells[0] * CELL) + 1) * self.span)
 
     def load(self, state: bytes) -> None:
         raise NotImplementedError
