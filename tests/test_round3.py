@@ -36,3 +36,34 @@ def test_state_is_kept_by_groups_of_keys(spark, tmp_path):
     assert got.user_id.isna().sum() == sum(r[2] is None for r in rows)
     kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
     assert max(kept) < 600 and kept[-1] == 0
+
+
+def test_members_are_read_by_their_list(spark, tmp_path):
+    from packetlens.sources import archives as Z
+
+    rows = [(i % 3, i, f"m{i}.txt", bytes([i]) * (i * 7 % 50), None) for i in range(60)]
+    members = spark.createDataFrame(rows, "packet_id long, position long, name string, content binary, metadata string")
+    path = str(tmp_path / "out")
+    Z.write_archives(members, path, 100, compress="false")
+    got = {(r.packet_id, r.position): bytes(r.content) for r in Z.read_members(Z.manifest(spark, path), path).collect()}
+    assert got == {(p, i): c for p, i, _, c, _ in rows}
+
+
+def test_neighbours_of_a_large_group_are_in_many_tasks(spark):
+    from packetlens.operators.scans import with_neighbour
+
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("p"), (F.col("id") * 3).alias("v"))
+    for step in (-1, 1):
+        out = with_neighbour(rows, "k", "p", {"near": "v"}, step, 64)
+        got = {(r.k, r.p): r.near if r.has_neighbour else None for r in out.collect()}
+        assert got == {(k, p): (2 * (p + step) + k) * 3 if 0 <= p + step < 2500 else None for k in (0, 1) for p in range(2500)}
+        assert out.groupBy("k", F.spark_partition_id()).count().where("count < 2500").count() > 2
+
+
+def test_pages_in_blocks_have_the_same_signals(spark):
+    from packetlens.operators import boundaries as B
+    from packetlens.sources.packets import packet_pages
+
+    pages = packet_pages(spark, "/root/testdata/sf0.001")
+    one, blocks = (sorted(map(str, B.heuristic(pages, every=True, dense=d).collect())) for d in (False, True))
+    assert one == blocks and one
