@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import ratio
+from .ranking import with_rank
 
 # Kinds of files, their content types, and what paths, parameters and headers may hold.
 FILE_KINDS = {".pdf": "pdf", ".zip": "zip", ".json": "manifest", ".txt": "manifest", ".log": "log"}
@@ -144,7 +145,7 @@ def with_upload(sessions: DataFrame, uploads: DataFrame) -> DataFrame:
 
 def paired(segments: DataFrame, files: DataFrame, packet: str = "packet_id") -> DataFrame:
     """Segments and files of a packet by their place in its order; those beyond the shorter list are left out."""
-    at = lambda rows, order: rows.withColumn("__at", F.row_number().over(Window.partitionBy(packet).orderBy(order)))
+    at = lambda rows, order: with_rank(rows, [order], packet, name="__at")
     return at(segments, "segment_no").join(at(files, "file_no"), [packet, "__at"]).drop("__at")
 
 
