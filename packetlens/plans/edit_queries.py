@@ -35,10 +35,23 @@ WITH seg AS (
 )"""
 
 
+#: In Spark a packet's starts stand in one row, so that lines meet them by packet alone, in the tasks that have numbered them.
+SEG, LINE = (TABLES[TABLES.index(f"{x} AS (") : TABLES.index(f"), {y} AS (") + 1] for x, y in (("seg", "line"), ("line", "sized")))
+FOUND = f"WITH {SEG} SELECT packet_id, segment_id, start_page, end_page, confidence, document_type, filename, '{{{{}}}}' AS metadata FROM seg"
+STARTS = f"""
+WITH {SEG} SELECT packet_id, count(*) AS n, max(end_page) + 1 AS pages, transform(array_sort(collect_list(struct(CAST(segment_id AS INT) AS i, start_page))), x -> x.start_page) AS starts
+FROM seg GROUP BY packet_id"""
+OWN_START = "LEFT JOIN seg s ON s.packet_id = z.packet_id AND s.segment_id = z.own"
+EDITS = (
+    f"WITH {LINE}, sized AS (SELECT line.*, n, pages, get(starts, CAST(q % n AS INT)) AS own_start, " + TABLES[TABLES.index("CAST(q % n + 1") : TABLES.index("  FROM line JOIN")]
+    + "  FROM line JOIN {starts} x USING (packet_id)\n), " + TABLES[TABLES.index("edit AS (") :].replace(OWN_START, "").replace("s.start_page", "own_start") + " SELECT * FROM edit"
+)
+
+
 def proposals(spark, sf_dir):
-    names = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem")}
-    found = spark.sql(TABLES + " SELECT *, '{{}}' AS metadata FROM seg", **names).drop("n")
-    edits = spark.sql(TABLES + " SELECT * FROM edit", **names)
+    orders, lineitem = (table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    found = spark.sql(FOUND, orders=orders)
+    edits = spark.sql(EDITS, orders=orders, lineitem=lineitem, starts=spark.sql(STARTS, orders=orders))
     ids = F.when(F.col("edit") == "add", F.array().cast("array<string>")).otherwise(F.array_compact(F.array("first_id", "second_id")))
     return E.in_order(found, edits.withColumns({"segment_ids": ids, "at": F.col("cut")}))
 

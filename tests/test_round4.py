@@ -61,3 +61,21 @@ def test_signals_of_a_page_are_the_same_by_the_short_ways(spark):
     r = df.select("t", T.any_match(F.col("t"), patterns).alias("a"), sum((F.col("t").rlike("(?im)" + p).cast("int") for p in patterns), F.lit(0)).alias("b"), end.alias("e"), start.alias("s"),
                   F.when((last > 0) & ((last - 1) / n > 0.6), 0.8).otherwise(0.0).alias("e2"), F.when((first > 0) & ((first - 1) / n > 0.3), 0.6).otherwise(0.0).alias("s2"), T.numbers(F.col("t")).alias("n"), whole.alias("n2")).collect()
     assert all(x.a == (x.b > 0) and (x.e, x.s, x.n) == (x.e2, x.s2, x.n2) for x in r) and {x.e for x in r} == {0.0, 0.8} and {x.s for x in r} == {0.0, 0.6}
+
+
+def test_edits_and_segments_meet_in_one_shuffle(spark):
+    """Names of edited segments were joined with all segments twice, and the result was written before it was read."""
+    from packetlens.operators import edits as E
+
+    rows = [(p, s, i * 3, i * 3 + 2, 0.5, "t", f"{s}.pdf", '{"b":1, "a":2}') for p in (1, 2, None) for i, s in enumerate(("x", "y", "z", None))]
+    found = spark.createDataFrame([*rows, (2, "w", None, None, None, None, None, None)], E.SEGMENT)
+    edits = spark.createDataFrame(
+        [(1, 1, "merge", ["x", "y"], None, None, None, None, "pending"), (1, 2, "remove", ["e1"], None, None, None, None, "pending"), (1, 3, "patch", ["z"], None, None, None, '{"confidence":0.25}', "pending"), (3, 1, "remove", ["x"], None, None, None, None, "pending")],
+        "packet_id long, edit_no long, edit string, segment_ids array<string>, at double, start_page long, end_page long, changes string, status string",
+    )
+    left, log = E.in_order(found, edits)
+    assert _plan(log).count("Exchange ") == 1 and "ExistingRDD[packet_id" not in _plan(log).split("MapInPandas")[0]
+    assert sorted((r.packet_id, r.edit_no, r.applied, r.reason) for r in log.collect()) == [(1, 1, True, None), (1, 2, True, None), (1, 3, True, None), (3, 1, False, "segment not found")]
+    got = {tuple(r) for r in left.collect()}
+    untouched = {r for r in rows if r[0] != 1 or r[1] is None} | {(2, "w", None, None, None, None, None, None)}
+    assert got == untouched | {(1, "z", 6, 8, 0.25, "t", "z.pdf", '{"a": 2, "b": 1}')}
