@@ -59,3 +59,10 @@ def test_starts_are_numbered_over_blocks(spark):
             nexts = [a for a, _ in own[1:]] + [n]
             want += [(p, i, a, b - 1, c) for i, ((a, c), b) in enumerate(zip(own, nexts, strict=False), 1) if a <= b - 1]
         assert sorted(map(tuple, G.segments(starts, None, corrected, ends_df).collect())) == sorted(want)
+
+
+def test_texts_are_measured_before_they_meet_segments(spark):
+    from packetlens import plans
+
+    plan = _plan(plans.QUERIES["segment_text"](spark, "/root/testdata/sf0.001"))
+    assert "sum(length(" not in plan and "sum(n#" in plan
