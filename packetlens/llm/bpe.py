@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, record_batch, releasing
+from .common import pieces, record_batch, releasing, small_batches
 
 #: Fixed value: the pattern that splits text before merges (byte-level BPE of this vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -254,4 +254,4 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             yield record_batch(**columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run), schema)
+    return small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(releasing(run), schema)

@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.runtime import durable, releasing, shared_dir
+from packetlens.runtime import BATCH_BYTES, durable, releasing, shared_dir, small_batches
 
-__all__ = ["as_bytes", "durable", "free_name", "held_out", "map_batches", "pieces", "record_batch", "releasing", "shared_dir"]
+__all__ = ["BATCH_BYTES", "as_bytes", "durable", "free_name", "held_out", "map_batches", "pieces", "record_batch", "releasing", "shared_dir", "small_batches"]
 
 #: Text that is held as Python words at a time, in bytes.
 PIECE_BYTES = 1 << 20
@@ -35,7 +35,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 yield from each(batch)
 
-    return df.mapInArrow(releasing(run), schema)
+    return small_batches(df).mapInArrow(releasing(run), schema)
 
 
 def as_bytes(column: pa.Array) -> pa.Array:
