@@ -7,7 +7,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from packetlens import config as C
+from packetlens import plans
 from packetlens import runtime as R
+from packetlens.operators import boundaries as B
+from packetlens.operators import segments as G
+from packetlens.operators.scans import with_neighbour
 from packetlens.sources import archives as Z
 
 
@@ -69,3 +74,35 @@ def test_archives_of_ranges_are_those_of_their_texts(spark, tmp_path, monkeypatc
     Z.write_ranges(ranges, pages, F.format_string("s%d", "position"), path, 40, compress="false", volumes="true")
     got = {(r.packet_id, r.position): (r.archive_no, r.name, bytes(r.content)) for r in Z.read_members(Z.manifest(spark, path), path).collect()}
     assert got == want and len({(p, no) for (p, _), (no, _, _) in want.items()}) > 20
+
+
+@pytest.mark.parametrize("step", [-1, 1])
+def test_rows_that_follow_are_met_over_blocks(spark, step):
+    sizes = {1: 100, 2: 8, 3: 1, 4: 9}
+    rows = spark.createDataFrame([(k, i, None if i % 5 == 3 else f"{k}-{i}") for k, n in sizes.items() for i in range(n)], "k long, p long, v string").repartition(4)
+    value = {(r.k, r.p): r.v for r in rows.collect()}
+    got = with_neighbour(rows, "k", "p", {"near": "v"}, step, 8, following=("run", "v", 3)).collect()
+    assert len(got) == len(value)
+    for r in got:
+        assert r.run == [value.get((r.k, r.p + i)) for i in range(3)] and r.near == value.get((r.k, r.p + step)) and r.has_neighbour == ((r.k, r.p + step) in value)
+
+
+def test_names_come_from_what_is_kept_with_starts(spark):
+    """All texts met the segments in a join and an aggregate of their own."""
+    draw = random.Random(2)
+    texts = ["From: a\nTo: b\nSubject: Invoice\nInvoice #12 total", "Agreement between\nPage 1 of 3", "Date: 1/2/2024\nPage 9 of 9", "report 3/4/2023", "", "Dear x\nSincerely,", "contract\nFrom: a\nTo: c", "x" * 6000 + "\ninvoice 2024-01-02", None]
+    rows = [(p, i, draw.choice(texts)) for p, n in ((1, 300), (2, 40), (3, 2)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "packet_id long, page_no long, text string").repartition(3)
+    first = B.document_starts(pages, parts=3, opening=G.NAMED_BY)
+    found = G.segments(first, pages)
+    assert {r.n for r in found.select((F.col("end_page") - F.col("start_page") + 1).alias("n")).distinct().collect()} >= {1, 2, 3, 4}
+    want, got = (sorted(map(str, df.select(*found.columns, "document_type", "date", "identifier", "suggested_filename", "summary").collect())) for df in (G.named(found, pages), G.named(found, None, first)))
+    assert want == got and len(got) > 50
+    plain = B.document_starts(pages, C.HeuristicConfig())
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, first.drop("opening").collect()))
+
+
+@pytest.mark.parametrize("name", ["unique_filenames"])
+def test_no_page_is_shuffled_for_names(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "l_orderkey" not in plan and " text#" not in plan
