@@ -102,7 +102,7 @@ def test_names_come_from_what_is_kept_with_starts(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, first.drop("opening").collect()))
 
 
-@pytest.mark.parametrize("name", ["unique_filenames"])
+@pytest.mark.parametrize("name", ["segment_names", "unique_filenames"])
 def test_no_page_is_shuffled_for_names(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "l_orderkey" not in plan and " text#" not in plan
